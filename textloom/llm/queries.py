@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.common import table
 from textloom.llm.mixing import mix
+from textloom.llm.packing import pack
 from textloom.llm.sharding import assign_shards
 from textloom.llm.token_counts import count_tokens
+from textloom.llm.token_output import round_trip
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op3_mixing, op6_token_counts)}
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op3_mixing, op6_token_counts, op7_packing, op8_token_output)}
 
 ORACLES: dict[str, str] = {}
