@@ -5,20 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textloom.llm.common import table
 from textloom.llm.minhash import near_duplicates
 from textloom.llm.mixing import mix
+from textloom.llm.nearest import nearest
 from textloom.llm.packing import pack
 from textloom.llm.sharding import assign_shards
 from textloom.llm.token_counts import count_tokens
 from textloom.llm.token_output import round_trip
+from textloom.llm.vector_dedup import near_vectors
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), 8)
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -39,6 +46,10 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op3_mixing, op4_minhash, op6_token_counts, op7_packing, op8_token_output)}
+def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_nearest, op3_mixing, op4_minhash, op6_token_counts, op7_packing, op8_token_output, op10_vector_dedup)}
 
 ORACLES: dict[str, str] = {}
