@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import table
+from textloom.llm.lm_scoring import score_texts
 from textloom.llm.minhash import near_duplicates
 from textloom.llm.mixing import mix
 from textloom.llm.nearest import nearest
@@ -46,10 +47,14 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_nearest, op3_mixing, op4_minhash, op6_token_counts, op7_packing, op8_token_output, op10_vector_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_nearest, op3_mixing, op4_minhash, op6_token_counts, op7_packing, op8_token_output, op9_lm_scoring, op10_vector_dedup)}
 
 ORACLES: dict[str, str] = {}
