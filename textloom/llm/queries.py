@@ -16,6 +16,7 @@ from textloom.llm.packing import pack
 from textloom.llm.sharding import assign_shards
 from textloom.llm.token_counts import count_tokens
 from textloom.llm.token_output import round_trip
+from textloom.llm.toxicity import toxicity
 from textloom.llm.vector_dedup import near_vectors
 
 
@@ -35,6 +36,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,6 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_nearest, op3_mixing, op4_minhash, op6_token_counts, op7_packing, op8_token_output, op9_lm_scoring, op10_vector_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_nearest, op3_mixing, op4_minhash, op5_toxicity, op6_token_counts, op7_packing, op8_token_output, op9_lm_scoring, op10_vector_dedup)}
 
 ORACLES: dict[str, str] = {}
