@@ -10,6 +10,7 @@ import json
 import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom import schemas
@@ -47,13 +48,13 @@ class IndexStore:
 
     def meta(self) -> tuple[dict | None, str]:
         """The current generation's record, and missing, corrupt, stale or ok."""
-        text = self._read("current.json")
-        if text is None:
-            return None, "missing"
         try:
+            text = self._read("current.json")
+            if text is None:
+                return None, "missing"
             got = json.loads(text)
             assert isinstance(got["generation"], str) and isinstance(got["version"], int)
-        except (ValueError, KeyError, TypeError, AssertionError):
+        except (ValueError, KeyError, TypeError, AssertionError, Py4JJavaError):  # the last: a checksum differs
             return None, "corrupt"
         return (got, "ok") if got["version"] == VERSION else (None, "stale")
 
