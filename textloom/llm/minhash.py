@@ -25,9 +25,13 @@ VALUE_BITS = 64 - REGISTERS.bit_length() + 1
 #: Accidental agreement of two registers whose least hashes differ: the sum over equal zero counts of 2^-MANTISSA.
 COLLISION = 2.0**-MANTISSA / 3
 #: Standard errors by which an estimate may fall short before a pair is let go unverified.
-SLACK = 5.0
-#: Members of a large bucket that meet in one row of the second round.
-BLOCK = 128
+SLACK = 4.0
+#: Sets up to this size travel whole with their registers, so that pairs of them need no text.
+SMALL = 96
+#: Members of a bucket that all others meet in the second round, and members that meet in one row of the last.
+LEADERS, BLOCK = 8, 128
+#: Bits of the map of ids whose texts are to be moved. Its size is fixed; when it fills up, it lets more texts pass.
+MAP_BITS = 1 << 23
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
@@ -75,6 +79,11 @@ def hopeful(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return rate >= at - SLACK * np.sqrt(at * (1 - at) / np.maximum(used, 1))
 
 
+def sizes_fit(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes can be similar at all."""
+    return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+
+
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Exact test on full sets: 100 * intersection >= percent * union, for sets that aren't empty."""
     small, large = sorted((len(x), len(y)))
@@ -91,18 +100,19 @@ def _utf8(column: pa.Array) -> list[bytes]:
 
 
 def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, digest, regs): digest names the set, so copies have one digest; null for empty sets."""
+    """(doc_id, n_shingles, digest, regs, small): digest names the set, so copies have one digest; null for empty
+    sets. small: the whole set, if it is SMALL."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(w, width) for w in words_of(_utf8(batch.column(1)))]
             digest = [None if not len(s) else s.sum(dtype=np.uint64).tobytes() + mix64(s).sum(dtype=np.uint64).tobytes() + len(s).to_bytes(4, "little") for s in sets]
             regs = registers(sets)
-            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "regs"])
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array([s.tobytes() if len(s) <= SMALL else None for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "regs", "small"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, regs binary")
+    return rows.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, regs binary, small binary")
 
 
 def _regs(column: pa.Array) -> np.ndarray:
@@ -122,22 +132,55 @@ def _with_bands(sets: DataFrame) -> DataFrame:
 
 
 def _promising(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (id, other) whose registers let the similarity be ``percent``."""
+    """Those of ``pairs`` (id, other) whose sizes and registers let the similarity be ``percent``; ``sure`` where
+    both sets came whole and are similar."""
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keep = pa.array(hopeful(_regs(batch.column(2)), _regs(batch.column(3)), percent))
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["id", "other"])
+                n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+                keep = sizes_fit(n, m, percent) & hopeful(_regs(batch.column(4)), _regs(batch.column(5)), percent)
+                sure = np.zeros(len(keep), bool)
+                for i in np.flatnonzero(keep & (n <= SMALL) & (m <= SMALL)).tolist():
+                    sure[i] = keep[i] = similar(*(np.frombuffer(batch.column(k)[i].as_py(), np.uint64) for k in (6, 7)), percent)
+                mask = pa.array(keep)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask), pa.array(sure[keep])], ["id", "other", "sure"])
+
+    own = sets.select("id", "n", "regs", "small")
+    others = sets.select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("regs").alias("regs2"), F.col("small").alias("small2"))
+    both = pairs.join(own, "id").join(others, "other").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    return both.select("id", "other", "n", "m", "regs", "regs2", "small", "small2").mapInArrow(weigh, "id long, other long, sure boolean")
+
+
+def _slot(ids: np.ndarray) -> np.ndarray:
+    return (mix64(ids.astype(np.int64).view(np.uint64)) % np.uint64(MAP_BITS)).astype(np.int64)
+
+
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose id is one of ``ids``, and a few more: a map of fixed size tells which, so that
+    no other text is shuffled."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = np.unique(_slot(batch.column(0).to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([pa.array(slot >> 6, pa.int64()), pa.array((np.uint64(1) << (slot & 63).astype(np.uint64)).view(np.int64), pa.int64())], ["word", "bits"])
 
-    regs = sets.select("id", "regs")
-    both = pairs.join(regs, "id").join(regs.select(F.col("id").alias("other"), F.col("regs").alias("regs2")), "other")
-    return both.select("id", "other", "regs", "regs2").mapInArrow(weigh, "id long, other long")
+    words = ids.mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    flags = np.zeros(MAP_BITS >> 6, np.int64)
+    flags[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    shared = texts.sparkSession.sparkContext.broadcast(np.unpackbits(flags.view(np.uint8), bitorder="little").astype(bool) if len(words) else None)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if shared.value is not None:
+            for batch in batches:
+                yield batch.filter(pa.array(shared.value[_slot(batch.column(0).to_numpy(zero_copy_only=False))]))
+
+    return materialise(texts.where("id is not null").mapInArrow(keep, "id long, text string"), "texts")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` whose full shingle sets are similar. Only texts that a pair names are moved; the sets of
-    the lesser side are kept from row to row, as its rows follow each other."""
+    """Those of ``pairs`` whose full shingle sets are similar. Only texts that a pair names are moved; the set of
+    ``other`` is kept from row to row, as its rows follow each other."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept = None, None
@@ -152,34 +195,56 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).filter(keep), pa.array(others, pa.int64()).filter(keep)], ["id", "other"])
 
-    both = pairs.join(texts, "id").join(texts.select(F.col("id").alias("other"), F.col("text").alias("text2")), "other")
+    moved = _texts_of(texts, pairs.select("id").union(pairs.select("other")))
+    both = pairs.join(moved, "id").join(moved.select(F.col("id").alias("other"), F.col("text").alias("text2")), "other")
     return both.select("id", "other", "text", "text2").mapInArrow(verify, "id long, other long")
 
 
-def _second_round(members: DataFrame, crowded: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs that the first round did not compare: two members of one bucket, neither its leader, that no link
-    joins yet. Buckets are cut into blocks, and each pair of blocks is one row, so no task holds a bucket; a pair
-    is compared where its first common band is."""
-    told = members.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    told = told.join(crowded, "key")
+def _linked(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The links among ``pairs``, written."""
+    likely = materialise(_promising(pairs, sets, percent), "pairs")
+    sure, open_pairs = likely.where("sure").select("id", "other"), likely.where("not sure").select("id", "other")
+    if open_pairs.isEmpty():
+        return sure
+    return materialise(_verified(open_pairs, texts, width, percent).unionByName(sure), "verified")
+
+
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, n, id, component) of the buckets whose members are not yet of one component."""
+    told = members.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "n", "id", F.coalesce("component", "id").alias("component"))
     mixed = told.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("key")
-    rest = told.join(mixed, "key").where(F.col("id") != F.col("leader")).join(sets.select("id", "regs"), "id")
+    return materialise(told.join(mixed, "key"), "mixed")
+
+
+def _pairs_with_leaders(mixed: DataFrame) -> DataFrame:
+    """Members of each bucket with LEADERS of it, the least by as many hashes, where no link joins them yet."""
+    ranks = [F.min_by(F.struct("id", "component"), F.xxhash64(F.lit(i), "id")).alias(f"l{i}") for i in range(LEADERS)]
+    leaders = mixed.groupBy("key").agg(*ranks).select("key", F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("leaders"))
+    met = mixed.select("key", "id", "component").join(leaders, "key").withColumn("leader", F.explode("leaders"))
+    met = met.where(F.col("component") != F.col("leader.component"))
+    return met.select(F.greatest("id", F.col("leader.id")).alias("id"), F.least("id", F.col("leader.id")).alias("other")).distinct()
+
+
+def _remaining_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a bucket's members that no link joins yet and whose sizes and registers allow one. Buckets are
+    cut into blocks, and each pair of blocks is one row, so no task holds a bucket; a pair is told where its first
+    common band is."""
+    rest = mixed.join(sets.select("id", F.col("n").alias("size"), "regs"), "id")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    rest = rest.withColumns({"blocks": blocks, "own": own})
+    rest = rest.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks).cast("int")})
     met = rest.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("key", F.least("own", "peer").alias("i"), F.greatest("own", "peer").alias("j"), "own", "id", "component", "regs")
-    rows = met.groupBy("key", "i", "j").agg(F.collect_list(F.struct("own", "id", "component", "regs")).alias("rows"))
+    met = met.withColumns({"i": F.least("own", "peer"), "j": F.greatest("own", "peer")})
+    rows = met.groupBy("key", "i", "j").agg(F.collect_list(F.struct("own", "id", "component", "size", "regs")).alias("rows"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, i, j, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
                 flat = rows.values
-                own, ids, comp = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                regs = _regs(flat.field(3))
+                own, ids, comp, size = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                regs = _regs(flat.field(4))
                 keys = band_keys(regs)
                 a, b = np.triu_indices(len(ids), 1)
-                want = comp[a] != comp[b]
+                want = (comp[a] != comp[b]) & sizes_fit(size[a], size[b], percent)
                 if i != j:
                     want &= own[a] != own[b]
                 a, b = a[want], b[want]
@@ -187,11 +252,12 @@ def _second_round(members: DataFrame, crowded: DataFrame, labels: DataFrame, set
                     x, y = a[s : s + 4096], b[s : s + 4096]
                     good = hopeful(regs[x], regs[y], percent)
                     x, y = x[good], y[good]
+                    if not len(x):
+                        continue
                     shared = (keys[x] == keys[y]) & (keys[x] != 0)
-                    first = keys[x, shared.argmax(1)] == key if len(x) else np.zeros(0, bool)
+                    first = keys[x, shared.argmax(1)] == key
                     x, y = ids[x[first]], ids[y[first]]
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y), pa.int64()), pa.array(np.minimum(x, y), pa.int64())], ["id", "other"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y), pa.int64()), pa.array(np.minimum(x, y), pa.int64())], ["id", "other"])
 
     return rows.mapInArrow(compare, "id long, other long")
 
@@ -202,25 +268,33 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     Words are runs of other characters than blanks, A-Z as a-z; documents whose sets of ``width``-word shingles
     have 100 * intersection >= ``percent`` * union are linked; component_id is the least id reachable. A null or
     empty text has no shingle and no link. Rows with equal sets are one class, whose least id stands for them, so
-    copies cost nothing. A row with a null id is told its class's component and never kept, unless its class has
-    no id at all: then it links with nothing and its component is null. Rows that share an id share its
-    component. An empty table gives no rows; other columns are not read.
+    copies cost nothing. A row with a null id is told its class's component and never kept; if its class has no
+    id at all, it links with nothing and its component is null. An empty table gives no rows; other columns are
+    not read.
+
+    Documents meet in the buckets of their bands. First all of a bucket meet its most central member, the one
+    whose bands are shared most: in a group of near copies that is what they were copied from. Then buckets whose
+    members are still of several components meet some leaders, and last all their pairs that no link joins yet.
+    So every pair that shares a band and may be similar is verified or joined by other links.
     """
     prepare(docs.sparkSession)
     rows = materialise(signatures(docs, width, id_col, text_col), "signatures")
-    sets = materialise(rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs")).where("id is not null"), "sets")
-    members = _with_bands(sets)
-    crowded = materialise(members.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    members = materialise(members.join(crowded.select("key"), "key"), "members")
+    sets = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.first("small").alias("small"))
+    sets = materialise(sets.where("id is not null"), "sets")
+    bands = _with_bands(sets)
+    crowded = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = materialise(bands.join(crowded, "key"), "members")
+    central = members.groupBy("id").agg(F.sum("n").alias("shared"))
+    leaders = members.join(central, "id").groupBy("key").agg(F.max_by("id", F.struct("shared", -F.col("id"))).alias("leader"))
+    stars = members.join(leaders, "key").where("id != leader").select(F.greatest("id", "leader").alias("id"), F.least("id", "leader").alias("other")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # An id that names rows of several texts: those of the class itself are meant.
-    stars = members.join(crowded.select("key", "leader"), "key").where(F.col("id") != F.col("leader")).select("id", F.col("leader").alias("other")).distinct()
-    pairs = materialise(_promising(stars, sets, percent), "pairs")
-    links = materialise(_verified(pairs, texts, width, percent), "verified")
+    links = _linked(stars, sets, texts, width, percent)
     labels = components(links, "id", "other")
-    more = materialise(_second_round(members, crowded.where("n > 2"), labels, sets, percent), "pairs")
-    if not more.isEmpty():
-        links = links.unionByName(_verified(more, texts, width, percent))
+    for more in (lambda m: _pairs_with_leaders(m), lambda m: _remaining_pairs(m, sets, percent)):
+        mixed = _mixed(members.where("n > 2"), labels)
+        if mixed.isEmpty():
+            break
+        links = links.unionByName(_linked(more(mixed), sets, texts, width, percent))
         labels = components(links, "id", "other")
     classes = sets.select("digest", "id").join(labels, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component"))
     told = rows.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
