@@ -19,7 +19,7 @@ from textloom.llm.common import materialise, table
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain, fitted on a bounded sample of this input's labelled documents, does not reject."""
     chain, _, _ = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, chain, prefix="__p_").where("not rejected").select(*docs.columns)
+    return toxicity.score(docs, chain, prefix="__p_", flag="__rejected").where("not __rejected").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,10 +28,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     behind = F.lit(1 << 62) + F.monotonically_increasing_id()
     keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), behind))
     told = materialise(minhash.near_duplicates(keyed, id_col="__key").select("doc_id", "kept"), "kept")
-    kept = told.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).withColumnRenamed("doc_id", "__key")
+    kept = told.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows")).withColumnRenamed("doc_id", "__key")
     out = keyed.join(kept, "__key")
-    if not kept.where("rows > 1").isEmpty():
-        out = out.where("rows = 1").unionByName(out.where("rows > 1").dropDuplicates(["__key"]))
+    if not kept.where("__rows > 1").isEmpty():
+        out = out.where("__rows = 1").unionByName(out.where("__rows > 1").dropDuplicates(["__key"]))
     return out.select(*docs.columns)
 
 
@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, up to three times."""
     numbered = docs.withColumn("__doc_row", F.monotonically_increasing_id())
     rows = numbered.select(F.col("doc_id").cast("long").alias("doc_id"), "source", mixing.word_count(F.col("text")).alias("size"), "__doc_row")
-    copies = mixing.mix_sized(materialise(rows, "mix"), extra=["__doc_row"]).where("copies > 0").select("__doc_row", "copies")
+    copies = mixing.mix_sized(materialise(rows, "mix"), extra=["__doc_row"]).where("copies > 0").select("__doc_row", F.col("copies").alias("__copies"))
     taken = numbered.join(materialise(copies, "copies"), "__doc_row")
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
 

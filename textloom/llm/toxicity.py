@@ -221,14 +221,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return chain, held, frame
 
 
-def score(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "p_") -> DataFrame:
-    """``docs`` with a probability per category and ``rejected``; these replace columns of the same names.
+def score(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "p_", flag: str = "rejected") -> DataFrame:
+    """``docs`` with a probability per category and ``flag``; these replace columns of the same names.
 
     A null or empty text has its dense features alone; every row, repeated or not, is judged by its whole text.
     """
     spark = docs.sparkSession
     prepare(spark)
-    added = [*(f"{prefix}{n}" for n in NAMES), "rejected"]
+    added = [*(f"{prefix}{n}" for n in NAMES), flag]
     kept = [c for c in docs.columns if c not in added]
     shipped = spark.sparkContext.broadcast(chain)
     at = NAMES.index(REJECTED)
@@ -245,7 +245,7 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "
             columns = [*batch.columns[:-1], *(pa.array(p[:, k]) for k in range(len(NAMES))), pa.array(p[:, at] >= own.threshold)]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], *added])
 
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(n, T.DoubleType()) for n in added[:-1]] + [T.StructField("rejected", T.BooleanType())])
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(n, T.DoubleType()) for n in added[:-1]] + [T.StructField(flag, T.BooleanType())])
     return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("string").alias("__text")).mapInArrow(judge, schema)
 
 
