@@ -88,6 +88,19 @@ def test_measuring(spark, corpus):
     assert corpus.measure("slice", call, lambda out: 0) is call
 
 
+def test_retention(spark, corpus, monkeypatch):
+    from textloom.plans import corpus as module
+
+    monkeypatch.setattr(module, "HISTORY_ROWS", 2)
+    monkeypatch.setattr(module, "LEDGER_ROWS", 1)
+    call = corpus.measure("slice", corpus.read_slice, lambda out: out["total_bytes"])
+    for _ in range(3):
+        corpus._append_history({"scanned_bytes": 1, "symbols": 1, "scan_errors": []}, 5)
+        call("a.ts")
+    assert corpus.compact() == {"history": 1, "ledger": 2}
+    assert corpus.history()[0].count() == 2 and corpus.ledger()[0].count() == 1 and corpus.compact() == {"history": 0, "ledger": 0}
+
+
 def test_reconciler(spark, corpus, tmp_path):
     rounds = Reconciler([corpus])
     query = rounds.start(spark, str(tmp_path / "stream"), every_ms=5000)

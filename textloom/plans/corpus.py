@@ -103,6 +103,22 @@ class Corpus:
         row = {"ts": now, "root": self.root, **report}
         jsonl.append(self.spark.createDataFrame([tuple(row.get(n) for n in schemas.HISTORY.names)], schemas.HISTORY), f"{self.cache}/history")
 
+    def compact(self) -> dict[str, int]:
+        """Retention: the newest history rows within rows and bytes, and the ledger once it has twice its rows.
+        What is kept is written beside the files before these are replaced."""
+        gone = {}
+        for name, (rows, _), keep in (("history", self.history(every_root=True), self._kept_history), ("ledger", self.ledger(), lambda r: ledgers.retained(r, LEDGER_ROWS, "ts"))):
+            kept = graphs.checkpointed(keep(rows))
+            gone[name] = rows.count() - kept.count()
+            if gone[name]:
+                kept.coalesce(1).write.mode("overwrite").json(f"{self.cache}/{name}")  # bounded by the retention
+        return gone
+
+    @staticmethod
+    def _kept_history(rows: DataFrame) -> DataFrame:
+        sized = rows.withColumn("__bytes", F.octet_length(F.to_json(F.struct(*rows.columns))) + 1)
+        return ledgers.retained_bytes(sized, HISTORY_ROWS, HISTORY_BYTES, "__bytes", "ts").drop("__bytes")
+
     def tables(self, refresh: bool = True) -> dict[str, DataFrame]:
         if refresh and self.refresh()["failed_files"]:
             raise RefreshFailed("; ".join(self.last_report["scan_errors"][:5]))
@@ -124,12 +140,12 @@ class Corpus:
             "history": [r.asDict() for r in last.collect()], "corrupt_lines": corrupt.count(), "trend": ledgers.trend(rows, COUNTERS, history, "ts").first().asDict(),
         }
 
-    def history(self) -> tuple[DataFrame, DataFrame]:
+    def history(self, every_root: bool = False) -> tuple[DataFrame, DataFrame]:
         path = f"{self.cache}/history"
         if not os.path.isdir(path) and ":" not in path:
             return self.spark.createDataFrame([], schemas.HISTORY), self.spark.createDataFrame([], "line string")
         rows, corrupt = jsonl.read(self.spark, path, schemas.HISTORY, ["ts", "root", "scanned_bytes", "symbols"])
-        return rows.where(F.col("root") == self.root), corrupt
+        return rows if every_root else rows.where(F.col("root") == self.root), corrupt
 
     def _contexts(self, tables: dict[str, DataFrame]) -> DataFrame:
         named = finding.first_context(tables["symbols"], scalar.symbol_text(F.col("file"), F.col("line"), F.col("kind"), F.col("name"), F.col("context")))

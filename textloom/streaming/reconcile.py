@@ -33,6 +33,7 @@ class Reconciler:
                 continue
             try:
                 self.reports[root] = corpus.refresh()
+                corpus.compact()
             except Exception as e:
                 self.reports[root] = f"{type(e).__name__}: {e}"
         self.done = batch_id
