@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = numbered.select(F.col("doc_id").cast("long").alias("doc_id"), "source", mixing.word_count(F.col("text")).alias("size"), "__doc_row")
     copies = mixing.mix_sized(materialise(rows, "mix"), extra=["__doc_row"]).where("copies > 0").select("__doc_row", F.col("copies").alias("__copies"))
     taken = numbered.join(materialise(copies, "copies"), "__doc_row")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
