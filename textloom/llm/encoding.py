@@ -13,11 +13,14 @@ from array import array
 
 #: Pattern of the byte-level pre-tokeniser (a fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Segments that one worker remembers; then it starts anew.
-REMEMBERED = 300_000
+#: Segments that one worker remembers, and as many older ones.
+REMEMBERED = 400_000
 #: Longer segments are encoded each time, so the cache's bytes stay bounded.
 LONGEST_REMEMBERED = 64
 
+#: Marks that never join the letters before them (an apostrophe may).
+_MARKS = frozenset(",.;:!?")
+
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -30,19 +33,34 @@ def _byte_of_char() -> dict[str, int]:
 
 
 class _Cache(dict):
+    """Segments by text. When it is full, its entries become the old ones; what is asked for again comes back."""
+
     def __init__(self, encode, lead: str):
         super().__init__()
-        self.encode, self.lead = encode, lead
+        self.encode, self.lead, self.old = encode, lead, {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.encode(self.lead + key)
+        value = self.old.get(key)
+        if value is None:
+            if key[-1:] in _MARKS and key[:-1].isalpha():  # a letters' token and a mark's: the letters may be known
+                value = self[key[:-1]] + self.encode(key[-1])
+            else:
+                value = self.encode(self.lead + key)
         if len(key) <= LONGEST_REMEMBERED:
             if len(self) >= REMEMBERED:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
 
 
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
+
+
 class TextEncoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes, exactly as the library would."""
 
@@ -56,6 +74,7 @@ class TextEncoder:
             spec = json.load(f)
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         self.ranked = self._ranked(spec)
+        self.piece = self.ranked._core_bpe.encode_single_piece if self.ranked else None
         self.first = _Cache(self._segment, "")
         self.rest = _Cache(self._segment, " ")
 
@@ -78,23 +97,19 @@ class TextEncoder:
         return tiktoken.Encoding("segments", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def _segment(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        if (text[1:] if text[:1] == " " else text).isalpha():  # one token of the pre-tokeniser
+            ids = self.piece(text.encode())
+        elif any(map(text.__contains__, self.special)):
             ids = self.library.encode(text, add_special_tokens=False).ids
         else:
             ids = self.ranked.encode_ordinary(text)
-        out = array("I", ids)
-        if sys.byteorder != "little":
-            out.byteswap()
-        return out.tobytes()
+        return _packed(ids)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self.ranked is None:
-            out = array("I", self.library.encode(text, add_special_tokens=False).ids)
-            if sys.byteorder != "little":
-                out.byteswap()
-            return out.tobytes()
+            return _packed(self.library.encode(text, add_special_tokens=False).ids)
         parts = _SAFE_SPACE.split(text) if _UNSAFE.search(text) else text.split(" ")
         head = self.first[parts[0]]
         if len(parts) == 1:
