@@ -17,7 +17,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = near.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.where(F.col("u") != F.col("v")).distinct()
+    return out.where(F.col("u") != F.col("v"))
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -27,10 +27,10 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     gathers a component: stars are formed by a partial minimum and a join that Spark can split.
     """
     edges = materialise(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").distinct(), "links")
-    state = None
-    while True:
-        edges = materialise(_star(_star(edges, True), False), "stars")
-        seen = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == state or not seen[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        state = seen
+    while not edges.isEmpty():
+        edges = materialise(_star(_star(edges, True), False).distinct(), "stars")
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+        # Done when each node has one link up and none that is linked up is linked to: all trees are flat.
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty():
+            break
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

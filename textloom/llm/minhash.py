@@ -15,21 +15,25 @@ from textloom.llm.words import mix64, shingles, words_of
 
 #: Words of a shingle and the least similarity, in hundredths, unless a contract says otherwise.
 WIDTH, PERCENT = 5, 80
-#: Registers of a signature, and registers of a band. At similarity 0.8 a pair shares none of the 32 bands with
-#: probability 5e-8.
-REGISTERS, BAND = 128, 4
-BANDS = REGISTERS // BAND
+#: Registers of a signature; bands, and registers of a band, drawn once for all. At similarity 0.8 a pair shares no
+#: band with probability 5e-6; documents that have half their text in common rarely share one.
+REGISTERS, BANDS, BAND = 256, 40, 6
+_drawn = np.random.default_rng(4)
+MEMBERS = np.array([_drawn.choice(REGISTERS, BAND, replace=False) for _ in range(BANDS)])
 #: A register holds the count of leading zeros (6 bits) and the bits after the first one (10) of its bucket's least hash.
 MANTISSA, EMPTY = 10, 0xFFFF
 VALUE_BITS = 64 - REGISTERS.bit_length() + 1
 #: Accidental agreement of two registers whose least hashes differ: the sum over equal zero counts of 2^-MANTISSA.
 COLLISION = 2.0**-MANTISSA / 3
-#: Standard errors by which an estimate may fall short before a pair is let go unverified.
-SLACK = 4.0
+#: Standard errors, and similarity beside them, by which an estimate may fall short before a pair is let go.
+SLACK, MARGIN = 3.5, 0.02
 #: Sets up to this size travel whole with their registers, so that pairs of them need no text.
-SMALL = 96
-#: Members of a bucket that all others meet in the second round, and members that meet in one row of the last.
-LEADERS, BLOCK = 8, 128
+SMALL = 48
+#: Sets from this size on fill the bands: at similarity 0.8 such a pair has one band or none in common with
+#: probability 8e-5, and few have ever no other link.
+LARGE = 200
+#: Members of a bucket that meet in one row.
+BLOCK = 128
 #: Bits of the map of ids whose texts are to be moved. Its size is fixed; when it fills up, it lets more texts pass.
 MAP_BITS = 1 << 23
 
@@ -58,9 +62,14 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
     """(documents, BANDS) of int64: a hash of the band's registers; 0 for a band without any hash."""
-    bands = np.ascontiguousarray(regs).view(np.uint64).reshape(len(regs), BANDS)
-    keys = mix64(bands ^ (np.arange(BANDS, dtype=np.uint64) << np.uint64(56)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-    keys[bands == np.uint64((1 << 64) - 1)] = 0
+    keys = np.empty((len(regs), BANDS), np.uint64)
+    for band, at in enumerate(MEMBERS):
+        own = regs[:, at].astype(np.uint64)
+        key = mix64(np.full(len(regs), band + 1, np.uint64))
+        for k in range(BAND):
+            key = mix64(key ^ (own[:, k] + np.uint64(k << 16)))
+        key[(own == EMPTY).all(1)] = 0
+        keys[:, band] = key
     return keys.view(np.int64)
 
 
@@ -72,11 +81,14 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (rate - COLLISION) / (1 - COLLISION), used
 
 
-def hopeful(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs that may reach ``percent``: only those whose estimate lies SLACK standard errors under it are let go."""
+def hopeful(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of sets of ``n`` and ``m`` shingles that may reach ``percent``: those whose estimate does not fall
+    further short than chance allows. The registers in use are a sample, without repeats, of the union."""
     at = percent / 100
     rate, used = estimate(a, b)
-    return rate >= at - SLACK * np.sqrt(at * (1 - at) / np.maximum(used, 1))
+    union = np.maximum((n + m) / (1 + at), 2)
+    spread = np.sqrt(at * (1 - at) / np.maximum(used, 1) * np.clip(1 - (used - 1) / (union - 1), 0, 1))
+    return rate >= at - SLACK * spread - MARGIN
 
 
 def sizes_fit(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -123,33 +135,41 @@ def _with_bands(sets: DataFrame) -> DataFrame:
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = band_keys(_regs(batch.column(1)))
+                keys = band_keys(_regs(batch.column(2)))
                 row, band = np.nonzero(keys)
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array(keys[row, band], pa.int64())], ["id", "key"])
+                ids, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array(sizes[row], pa.int32()), pa.array(keys[row, band], pa.int64())], ["id", "size", "key"])
 
-    return sets.select("id", "regs").mapInArrow(explode, "id long, key long")
+    return sets.select("id", "size", "regs").mapInArrow(explode, "id long, size int, key long")
 
 
 def _promising(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (id, other) whose sizes and registers let the similarity be ``percent``; ``sure`` where
-    both sets came whole and are similar."""
+    """Those of ``pairs`` (id, other) whose registers let the similarity be ``percent``."""
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-                keep = sizes_fit(n, m, percent) & hopeful(_regs(batch.column(4)), _regs(batch.column(5)), percent)
-                sure = np.zeros(len(keep), bool)
-                for i in np.flatnonzero(keep & (n <= SMALL) & (m <= SMALL)).tolist():
-                    sure[i] = keep[i] = similar(*(np.frombuffer(batch.column(k)[i].as_py(), np.uint64) for k in (6, 7)), percent)
-                mask = pa.array(keep)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask), pa.array(sure[keep])], ["id", "other", "sure"])
+                n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5))
+                keep = pa.array(hopeful(_regs(batch.column(2)), _regs(batch.column(3)), n, m, percent))
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["id", "other"])
 
-    own = sets.select("id", "n", "regs", "small")
-    others = sets.select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("regs").alias("regs2"), F.col("small").alias("small2"))
-    both = pairs.join(own, "id").join(others, "other").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    return both.select("id", "other", "n", "m", "regs", "regs2", "small", "small2").mapInArrow(weigh, "id long, other long, sure boolean")
+    own = sets.select("id", "regs", "size")
+    others = sets.select(F.col("id").alias("other"), F.col("regs").alias("regs2"), F.col("size").alias("size2"))
+    both = pairs.join(own, "id").join(others, "other")
+    return both.select("id", "other", "regs", "regs2", "size", "size2").mapInArrow(weigh, "id long, other long")
+
+
+def _told_apart(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` with ``linked``: true or false where both sets came whole, null where the texts must tell."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) if x is not None and y is not None else None for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["id", "other", "linked"])
+
+    small = sets.where("small is not null").select("id", "small")
+    both = pairs.join(small, "id", "left").join(small.select(F.col("id").alias("other"), F.col("small").alias("small2")), "other", "left")
+    return both.select("id", "other", "small", "small2").mapInArrow(compare, "id long, other long, linked boolean")
 
 
 def _slot(ids: np.ndarray) -> np.ndarray:
@@ -201,63 +221,71 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The links among ``pairs``, written."""
-    likely = materialise(_promising(pairs, sets, percent), "pairs")
-    sure, open_pairs = likely.where("sure").select("id", "other"), likely.where("not sure").select("id", "other")
-    if open_pairs.isEmpty():
+    """The links among ``pairs``, which the registers allow; written."""
+    told = materialise(_told_apart(pairs, sets, percent), "pairs")
+    sure, unsure = told.where("linked").select("id", "other"), told.where("linked is null").select("id", "other")
+    if unsure.isEmpty():
         return sure
-    return materialise(_verified(open_pairs, texts, width, percent).unionByName(sure), "verified")
+    return materialise(_verified(unsure, texts, width, percent).unionByName(sure), "verified")
 
 
-def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, n, id, component) of the buckets whose members are not yet of one component."""
-    told = members.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "n", "id", F.coalesce("component", "id").alias("component"))
+def _mixed(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, n, id, size, component, regs) of the buckets whose members are not yet of one component."""
+    told = members.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "n", "id", "size", F.coalesce("component", "id").alias("component"))
     mixed = told.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("key")
-    return materialise(told.join(mixed, "key"), "mixed")
+    return materialise(told.join(mixed, "key"), "mixed").join(sets.select("id", "regs"), "id")
 
 
-def _pairs_with_leaders(mixed: DataFrame) -> DataFrame:
-    """Members of each bucket with LEADERS of it, the least by as many hashes, where no link joins them yet."""
-    ranks = [F.min_by(F.struct("id", "component"), F.xxhash64(F.lit(i), "id")).alias(f"l{i}") for i in range(LEADERS)]
-    leaders = mixed.groupBy("key").agg(*ranks).select("key", F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("leaders"))
-    met = mixed.select("key", "id", "component").join(leaders, "key").withColumn("leader", F.explode("leaders"))
-    met = met.where(F.col("component") != F.col("leader.component"))
-    return met.select(F.greatest("id", F.col("leader.id")).alias("id"), F.least("id", F.col("leader.id")).alias("other")).distinct()
-
-
-def _remaining_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a bucket's members that no link joins yet and whose sizes and registers allow one. Buckets are
-    cut into blocks, and each pair of blocks is one row, so no task holds a bucket; a pair is told where its first
-    common band is."""
-    rest = mixed.join(sets.select("id", F.col("n").alias("size"), "regs"), "id")
+def _pairs_in_blocks(mixed: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
+    """Pairs of a bucket's members that no link joins yet and whose sizes and registers allow one; each pair is
+    told where its first common band is. Buckets are cut into blocks by id hash. With ``all_pairs`` each two
+    blocks meet in a row; without, a block is by itself and each member names only its likeliest partner."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rest = rest.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks).cast("int")})
-    met = rest.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.withColumns({"i": F.least("own", "peer"), "j": F.greatest("own", "peer")})
-    rows = met.groupBy("key", "i", "j").agg(F.collect_list(F.struct("own", "id", "component", "size", "regs")).alias("rows"))
+    rest = mixed.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks).cast("int")})
+    if all_pairs:
+        rest = rest.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rest = rest.withColumns({"i": F.least("own", "peer"), "j": F.greatest("own", "peer")})
+    else:
+        rest = rest.withColumns({"i": F.col("own"), "j": F.col("own")})
+    rows = rest.groupBy("key", "i", "j").agg(F.collect_list(F.struct("own", "id", "component", "size", "regs")).alias("rows")).where(F.size("rows") > 1)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found: list[np.ndarray] = []
             for key, i, j, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
                 flat = rows.values
                 own, ids, comp, size = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-                regs = _regs(flat.field(4))
-                keys = band_keys(regs)
                 a, b = np.triu_indices(len(ids), 1)
                 want = (comp[a] != comp[b]) & sizes_fit(size[a], size[b], percent)
                 if i != j:
                     want &= own[a] != own[b]
                 a, b = a[want], b[want]
-                for s in range(0, len(a), 4096):
-                    x, y = a[s : s + 4096], b[s : s + 4096]
-                    good = hopeful(regs[x], regs[y], percent)
-                    x, y = x[good], y[good]
-                    if not len(x):
-                        continue
-                    shared = (keys[x] == keys[y]) & (keys[x] != 0)
-                    first = keys[x, shared.argmax(1)] == key
-                    x, y = ids[x[first]], ids[y[first]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y), pa.int64()), pa.array(np.minimum(x, y), pa.int64())], ["id", "other"])
+                if not len(a):
+                    continue
+                regs = _regs(flat.field(4))
+                keys = band_keys(regs)
+                cell, rates = [], []
+                for s in range(0, len(a), 16384):
+                    x, y = a[s : s + 16384], b[s : s + 16384]
+                    common = (keys[x] == keys[y]) & (keys[x] != 0)
+                    # Told in the first common band alone; large sets as similar as that have another in common.
+                    own_band = keys[x, common.argmax(1)] == key
+                    own_band &= (common.sum(1) >= 2) | (np.minimum(size[x], size[y]) < LARGE)
+                    x, y = x[own_band], y[own_band]
+                    if len(x):
+                        good = hopeful(regs[x], regs[y], size[x], size[y], percent)
+                        cell.append(np.stack([x[good], y[good]]))
+                        rates.append(estimate(regs[x[good]], regs[y[good]])[0])
+                if cell:
+                    pair, rate = np.concatenate(cell, axis=1), np.concatenate(rates)
+                    if not all_pairs and len(rate):
+                        pair = pair[:, np.argsort(-rate, kind="stable")]
+                        best = [np.unique(pair[k], return_index=True)[1] for k in (0, 1)]
+                        pair = pair[:, np.unique(np.concatenate(best))]
+                    found.append(ids[pair])
+            if found:
+                x, y = np.concatenate(found, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y), pa.int64()), pa.array(np.minimum(x, y), pa.int64())], ["id", "other"])
 
     return rows.mapInArrow(compare, "id long, other long")
 
@@ -273,28 +301,30 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     not read.
 
     Documents meet in the buckets of their bands. First all of a bucket meet its most central member, the one
-    whose bands are shared most: in a group of near copies that is what they were copied from. Then buckets whose
-    members are still of several components meet some leaders, and last all their pairs that no link joins yet.
-    So every pair that shares a band and may be similar is verified or joined by other links.
+    whose bands are shared most: in a group of near copies that is what they were copied from. Then, where a
+    bucket's members are still of several components, each meets its likeliest partner of a block, and last all
+    pairs that no link joins yet meet. So every pair that shares a band and may be similar is verified or joined
+    by other links, and a large group is joined long before its pairs are counted out.
     """
     prepare(docs.sparkSession)
     rows = materialise(signatures(docs, width, id_col, text_col), "signatures")
-    sets = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.first("small").alias("small"))
+    sets = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").cast("int").alias("size"), F.first("regs").alias("regs"), F.first("small").alias("small"))
     sets = materialise(sets.where("id is not null"), "sets")
     bands = _with_bands(sets)
-    crowded = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowded = bands.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1")
     members = materialise(bands.join(crowded, "key"), "members")
     central = members.groupBy("id").agg(F.sum("n").alias("shared"))
-    leaders = members.join(central, "id").groupBy("key").agg(F.max_by("id", F.struct("shared", -F.col("id"))).alias("leader"))
-    stars = members.join(leaders, "key").where("id != leader").select(F.greatest("id", "leader").alias("id"), F.least("id", "leader").alias("other")).distinct()
+    leaders = members.join(central, "id").groupBy("key").agg(F.max_by(F.struct("id", "size"), F.struct("shared", -F.col("id"))).alias("leader"))
+    stars = members.join(leaders, "key").where(F.col("id") != F.col("leader.id")).where(100 * F.least("size", F.col("leader.size")) >= percent * F.greatest("size", F.col("leader.size")))
+    stars = stars.select(F.greatest("id", F.col("leader.id")).alias("id"), F.least("id", F.col("leader.id")).alias("other")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    links = _linked(stars, sets, texts, width, percent)
+    links = _linked(materialise(_promising(stars, sets, percent), "likely"), sets, texts, width, percent)
     labels = components(links, "id", "other")
-    for more in (lambda m: _pairs_with_leaders(m), lambda m: _remaining_pairs(m, sets, percent)):
-        mixed = _mixed(members.where("n > 2"), labels)
-        if mixed.isEmpty():
+    for all_pairs in (False, True):
+        more = materialise(_pairs_in_blocks(_mixed(members.where("n > 2"), labels, sets), percent, all_pairs), "likely")
+        if more.isEmpty():
             break
-        links = links.unionByName(_linked(more(mixed), sets, texts, width, percent))
+        links = labels.select(F.col("node").alias("id"), F.col("component").alias("other")).unionByName(_linked(more, sets, texts, width, percent))
         labels = components(links, "id", "other")
     classes = sets.select("digest", "id").join(labels, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component"))
     told = rows.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
