@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.session import shared_path
+
 ALPHA, TOLERANCE, MOST_ROUNDS = 0.85, 1e-6, 100
 NO_CONTEXT = "(no symbols/imports)"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of spark.checkpoint.dir (a local one only where that is unset) and read again."""
+    """``df`` written to the shared folder and read again."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="textloom-graph-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/textloom/graph-{uuid.uuid4().hex}"
+    path = shared_path(spark, "graph")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

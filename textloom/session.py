@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -19,3 +23,15 @@ def session(app: str = "textloom", master: str | None = None, **conf: str) -> Sp
     for key, value in (DEFAULTS | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+@functools.cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="textloom-")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that the session names in spark.checkpoint.dir, or else in the context's own
+    checkpoint folder; a local one only where neither is set, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own_folder(spark.sparkContext.applicationId)
+    return f"{base.rstrip('/')}/textloom/{name}-{uuid.uuid4().hex}"
