@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from textloom.session import shared_path
+
 #: Rows and bytes of one Arrow batch: bounds what a Python worker holds at once.
 ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
@@ -25,13 +25,7 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that ``spark.checkpoint.dir`` names; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/textloom/{name}-{uuid.uuid4().hex}"
+shared_dir = shared_path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
