@@ -228,6 +228,37 @@ def test_packing_is_tight():
     assert packing.cut(5000, 2048) == [(0, 904), (904, 2048), (2952, 2048)] and packing.cut(2048, 2048) == [(0, 2048)]
 
 
+def test_counts_pack_as_items_do():
+    rng = np.random.default_rng(2)
+    for top in (3, 40, 199):
+        lengths = rng.integers(1, top + 1, 3000)
+        counts = np.bincount(lengths, minlength=200)
+        _, fills = packing.best_fit(lengths, 200)
+        bins, at = Counter(), {}
+        for n, first, b, each, offset in packing.fit_counts(counts, 200).tolist():
+            at.setdefault(n, []).append((first, b, each, offset))
+        for n, runs in sorted(at.items(), reverse=True):
+            for (first, b, each, offset), stop in zip(runs, [*[r[0] for r in runs[1:]], counts[n]]):
+                for k in range(stop - first):
+                    assert bins[b + k // each] == offset + k % each * n
+                    bins[b + k // each] += n
+        assert sorted(bins.values()) == sorted(fills.tolist())
+    assert len(packing.fit_counts(np.zeros(200, np.int64), 200)) == 0
+
+
+def test_unlike_partitions_pack_together(spark):
+    """Pieces of 1100 in one partition, of 900 in the other: a bin holds one of each."""
+    n = 500
+    lengths = F.when(F.col("id") < n, 1100).otherwise(900).cast("long")
+    rows = spark.range(0, 2 * n, 1, 2).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), lengths.alias("length"), F.lit(0).cast("long").alias("ids_crc32"))
+    got = packing.pack_pieces(rows).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(2 * n))
+    taken: dict[int, list] = {}
+    for r in got:
+        taken.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert len(taken) == n and all(sorted(x) == [(0, 1100), (1100, 900)] for x in taken.values())
+
+
 def test_token_output(spark, odd, none, library):
     rows = [r for r in ODD if r[0] is not None]
     got = sorted(map(tuple, token_output.round_trip(odd.where("doc_id is not null")).collect()))

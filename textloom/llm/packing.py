@@ -6,10 +6,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.llm.common import materialise, prepare
@@ -20,12 +20,12 @@ CAPACITY = 2048
 NEARLY_FULL = 32
 #: Pieces that are packed at once in a partition; so a task's memory is bounded.
 LOCAL = 200_000
-#: Underfull bins, the emptiest first, that a group hands up the tree; the others are emitted as they are.
-CARRIED, FAN_IN = 32, 8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-MEMBER = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
-BINS = f"sequence_id long, fill long, final boolean, members array<{MEMBER}>"
+#: ``sequence_id`` and ``offset`` of the pieces in nearly full bins; of the others the partition and the place among
+#: its open pieces of that length.
+LOCALLY = f"{PIECES}, sequence_id long, offset long, part int, place long"
+PLACED = f"{PIECES}, sequence_id long, offset long"
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -77,36 +77,75 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return at, np.array(fills, np.int64)
 
 
-def _finals(fills: np.ndarray, capacity: int) -> np.ndarray:
-    """Which bins are done: nearly full ones, and all but the ``CARRIED`` emptiest of the others."""
-    final = fills >= capacity - NEARLY_FULL
-    open_bins = np.flatnonzero(~final)
-    final[open_bins[np.argsort(fills[open_bins], kind="stable")[CARRIED:]]] = True
-    return final
+def fit_counts(counts: np.ndarray, capacity: int) -> np.ndarray:
+    """``best_fit`` of ``counts[n]`` items of each length n, told in runs: rows of (length, first item, first bin,
+    items a bin, offset), by length and first item. Bins of one history stand together, so a length parts two groups
+    at most, and memory depends on ``capacity`` alone."""
+    runs, bins = [], 0
+    stacks: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+    used = 0
+
+    def put(room: int, first: int, n: int) -> None:
+        nonlocal used
+        if n and room:
+            used |= 1 << room
+            stacks[room].append((first, n))
+
+    for length in np.flatnonzero(counts)[::-1].tolist():
+        at, left = 0, int(counts[length])
+        while left:
+            fit = used >> length
+            if fit:
+                room = ((fit & -fit).bit_length() - 1) + length
+                first, n = stacks[room].pop()
+                if not stacks[room]:
+                    used ^= 1 << room
+                each = room // length
+            else:
+                room, each, first = capacity, capacity // length, bins
+                n = -(-left // each)
+                bins += n
+            runs.append((length, at, first, each, capacity - room))
+            whole, over = divmod(min(left, n * each), each)
+            put(room, first + whole + bool(over), n - whole - bool(over))
+            put(room - over * length, first + whole, int(over > 0))
+            put(room - each * length, first, whole)
+            taken = whole * each + over
+            at, left = at + taken, left - taken
+    out = np.array(runs, np.int64).reshape(-1, 5)
+    return out[np.lexsort((out[:, 1], out[:, 0]))]
 
 
 def _local(capacity: int):
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base, made, held, size = (TaskContext.get().partitionId() + 1) << 36, 0, [], 0
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        base, made, held, size, open_pieces = (part + 1) << 36, 0, [], 0, np.zeros(capacity, np.int64)
 
-        def flush() -> Iterator[pd.DataFrame]:
-            nonlocal made, held, size
-            rows = pd.concat(held, ignore_index=True)
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal made, held, size, open_pieces
+            rows = pa.Table.from_batches(held)
             held, size = [], 0
-            at, fills = best_fit(rows["length"].to_numpy(), capacity)
-            final = _finals(fills, capacity)
-            members = rows[["doc_id", "piece", "start", "length", "ids_crc32"]].astype(object).where(rows.notna(), None).to_dict("records")
-            lists: list[list[dict]] = [[] for _ in fills]
-            for b, m in zip(at.tolist(), members):
-                lists[b].append(m)
-            ids = base + made + np.arange(len(fills))
+            length = rows["length"].to_numpy()
+            at, fills = best_fit(length, capacity)
+            final = (fills >= capacity - NEARLY_FULL)[at]
+            by_bin = np.argsort(at, kind="stable")
+            before = np.cumsum(length[by_bin]) - length[by_bin]
+            offset = np.empty(len(at), np.int64)
+            offset[by_bin] = before - (np.cumsum(fills) - fills)[at[by_bin]]
+            by_length = np.argsort(length + final * capacity, kind="stable")[: int((~final).sum())]
+            n = np.bincount(length[by_length], minlength=capacity)
+            place = np.zeros(len(at), np.int64)
+            place[by_length] = np.arange(len(by_length)) - (np.cumsum(n) - n - open_pieces)[length[by_length]]
+            open_pieces += n
+            columns = {"sequence_id": pa.array(base + made + at, mask=~final), "offset": pa.array(offset, mask=~final), "part": pa.array(np.full(len(at), part, np.int32)), "place": pa.array(place, mask=final)}
+            for name, column in columns.items():
+                rows = rows.append_column(name, column)
             made += len(fills)
-            for s in range(0, len(fills), 5000):
-                yield pd.DataFrame({"sequence_id": ids[s : s + 5000], "fill": fills[s : s + 5000], "final": final[s : s + 5000], "members": lists[s : s + 5000]})
+            yield from rows.to_batches()
 
-        for frame in frames:
-            held.append(frame)
-            size += len(frame)
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
             if size >= LOCAL:
                 yield from flush()
         if size:
@@ -115,50 +154,40 @@ def _local(capacity: int):
     return pack
 
 
-def _merge(capacity: int, last: bool):
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("sequence_id", ignore_index=True)
-        at, fills = best_fit(frame["fill"].to_numpy(), capacity)
-        final = np.ones(len(fills), bool) if last else _finals(fills, capacity)
-        ids, lists = [0] * len(fills), [[] for _ in fills]
-        for b, sequence, members in zip(at.tolist(), frame["sequence_id"].tolist(), frame["members"]):
-            ids[b] = ids[b] or sequence
-            lists[b] += [dict(m) for m in members]
-        return pd.DataFrame({"sequence_id": ids, "fill": fills, "final": final, "members": lists})
-
-    return merge
-
-
 def pack_pieces(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``rows`` (the columns of ``PIECES``) with sequence_id and offset.
 
-    Each partition packs its pieces by best fit and emits the nearly full bins. The emptiest of the rest go up a
-    tree of ``FAN_IN`` groups a node as items of another best-fit round, until one group is left. A group hands
-    up a bounded number of bins, and a bin has at most ``capacity`` members.
+    Each partition packs its pieces by best fit and emits the nearly full bins. All other bins are taken apart and
+    their pieces packed once more, by best fit over all partitions: the pieces of each length are counted, the
+    counts are packed, and each piece goes where its place among those of its length is. Only counts are gathered,
+    ``capacity`` at most.
     """
     full = rows.where(F.col("length") >= capacity)
-    bins = materialise(rows.where(F.col("length") < capacity).mapInPandas(_local(capacity), BINS), "bins")
-    done = [bins.where("final")]
-    carry = bins.where("not final")
-    width = bins.select(F.max(F.shiftright("sequence_id", 36))).first()[0] or 0
-    step = FAN_IN
-    while not carry.isEmpty():
-        last = step > width
-        group = F.floor(F.shiftright("sequence_id", 36) / step)
-        merged = materialise(carry.groupBy(group.alias("node")).applyInPandas(_merge(capacity, last), BINS), "bins")
-        done.append(merged.where("final"))
-        carry = merged.where("not final")
-        step *= FAN_IN
-        if last:
-            break
-    packed = done[0]
-    for more in done[1:]:
-        packed = packed.unionByName(more)
-    before = F.transform(F.sequence(F.lit(1), F.size("members")), lambda i: F.aggregate(F.slice("members", 1, i - 1), F.lit(0).cast("long"), lambda s, m: s + m["length"]))
-    spread = packed.select("sequence_id", F.explode(F.arrays_zip(F.col("members").alias("m"), before.alias("o"))).alias("x"))
-    spread = spread.select(*[F.col(f"x.m.{c}").alias(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")], "sequence_id", F.col("x.o").alias("offset"))
+    packed = materialise(rows.where(F.col("length") < capacity).mapInArrow(_local(capacity), LOCALLY), "packed")
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    done = packed.where("place is null").select(*columns, "sequence_id", "offset")
+    rest = packed.where("place is not null").select(*columns, "part", "place")
+    parts = materialise(rest.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "parts")
+    counts = np.zeros(capacity, np.int64)
+    for length, n in parts.groupBy("length").agg(F.sum("n")).collect():
+        counts[length] = n
+    runs = rows.sparkSession.sparkContext.broadcast(fit_counts(counts, capacity))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lengths, firsts, bins, each, offsets = runs.value.T
+        keys = lengths << 48 | firsts
+        for batch in batches:
+            length, place = batch.column(3).to_numpy(), batch.column(5).to_numpy()
+            run = np.searchsorted(keys, length << 48 | place, "right") - 1
+            beyond, inside = np.divmod(place - firsts[run], each[run])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(bins[run] + beyond), pa.array(offsets[run] + inside * length)], [*columns, "sequence_id", "offset"])
+
+    # One row a partition in each window; a partition's open pieces of one length are the most that share a key.
+    before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    bases = parts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    placed = rest.join(bases, ["part", "length"]).select(*columns, (F.col("base") + F.col("place")).alias("place")).mapInArrow(settle, PLACED)
     whole = full.select("*", (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return spread.unionByName(whole)
+    return done.unionByName(placed).unionByName(whole)
 
 
 def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
