@@ -164,6 +164,20 @@ def test_minhash(spark, odd, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_bands_use_every_register():
+    assert set(minhash.MEMBERS.ravel()) == set(range(minhash.REGISTERS))
+    assert all(len(set(x)) == minhash.BAND for x in minhash.MEMBERS.tolist())
+
+
+def test_short_texts_need_no_band(spark, monkeypatch):
+    """4 against 5 shingles and 48 against 60 are linked, 47 against 60 are not, with no band at all."""
+    monkeypatch.setattr(minhash, "_with_bands", lambda sets: sets.select("id", "size", F.lit(0).cast("long").alias("key")).where("false"))
+    text = lambda mark, n: " ".join(f"{mark}{i}" for i in range(n + 3))  # n shingles
+    rows = [(1, text("a", 4)), (2, text("a", 5)), (3, text("b", 48)), (4, text("b", 60)), (5, text("c", 47)), (6, text("c", 60)), (7, text("a", 4) + " " + text("d", 48))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6, 7: 7}
+
+
 def test_registers_estimate():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2)

@@ -15,11 +15,13 @@ from textloom.llm.words import mix64, shingles, words_of
 
 #: Words of a shingle and the least similarity, in hundredths, unless a contract says otherwise.
 WIDTH, PERCENT = 5, 80
-#: Registers of a signature; bands, and registers of a band, drawn once for all. At similarity 0.8 a pair shares no
-#: band with probability 5e-6; documents that have half their text in common rarely share one.
-REGISTERS, BANDS, BAND = 256, 40, 6
-_drawn = np.random.default_rng(4)
-MEMBERS = np.array([_drawn.choice(REGISTERS, BAND, replace=False) for _ in range(BANDS)])
+#: Registers of a signature, and of a band. The bands part the registers among them, so each register stands in one
+#: (the last band takes two more from the first). At similarity 0.8 a pair of long texts shares no band with
+#: probability (1 - 0.8^6)^43 = 2e-6; documents that have half their text in common rarely share one.
+REGISTERS, BAND = 256, 6
+_drawn = np.random.default_rng(4).permutation(REGISTERS)
+MEMBERS = np.append(_drawn, _drawn[: -REGISTERS % BAND]).reshape(-1, BAND)
+BANDS = len(MEMBERS)
 #: A register holds the count of leading zeros (6 bits) and the bits after the first one (10) of its bucket's least hash.
 MANTISSA, EMPTY = 10, 0xFFFF
 VALUE_BITS = 64 - REGISTERS.bit_length() + 1
@@ -27,7 +29,8 @@ VALUE_BITS = 64 - REGISTERS.bit_length() + 1
 COLLISION = 2.0**-MANTISSA / 3
 #: Standard errors, and similarity beside them, by which an estimate may fall short before a pair is let go.
 SLACK, MARGIN = 3.5, 0.02
-#: Sets up to this size travel whole with their registers, so that pairs of them need no text.
+#: Pairs whose smaller set has up to this size are found without fail: these sets, and all that may be similar to
+#: one, travel whole with their registers and meet in the buckets of their rarest shingles.
 SMALL = 48
 #: Sets from this size on fill the bands: at similarity 0.8 such a pair has one band or none in common with
 #: probability 8e-5, and few have ever no other link.
@@ -111,16 +114,17 @@ def _utf8(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+def signatures(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n_shingles, digest, regs, small): digest names the set, so copies have one digest; null for empty
-    sets. small: the whole set, if it is SMALL."""
+    sets. small: the whole set, if it is
+    SMALL or may be similar to one that is."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(w, width) for w in words_of(_utf8(batch.column(1)))]
             digest = [None if not len(s) else s.sum(dtype=np.uint64).tobytes() + mix64(s).sum(dtype=np.uint64).tobytes() + len(s).to_bytes(4, "little") for s in sets]
             regs = registers(sets)
-            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array([s.tobytes() if len(s) <= SMALL else None for s in sets], pa.binary())]
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array([s.tobytes() if percent * len(s) <= 100 * SMALL else None for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "regs", "small"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -143,6 +147,23 @@ def _with_bands(sets: DataFrame) -> DataFrame:
     return sets.select("id", "size", "regs").mapInArrow(explode, "id long, size int, key long")
 
 
+def _with_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, size, key): of each set that came whole its rarest shingles, so many that sets without one in common have
+    less than ``percent`` of a union in common; those that stand in one set alone are left out."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ids, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes), pa.int64()), pa.array(np.repeat(sizes, sizes), pa.int32()), pa.array(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64))], ["id", "size", "key"])
+
+    rows = sets.where("small is not null").select("id", "size", "small").mapInArrow(explode, "id long, size int, key long")
+    met = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    own = rows.join(met, "key").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("by_n"))
+    first = F.slice("by_n", 1, F.expr(f"size - cast(({percent} * size + 99) div 100 as int) + 1"))
+    return own.select("id", "size", F.explode(first).alias("x")).where("x.n > 1").select("id", "size", F.col("x.key").alias("key"))
+
+
 def _promising(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (id, other) whose registers let the similarity be ``percent``."""
 
@@ -229,17 +250,22 @@ def _linked(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, per
     return materialise(_verified(unsure, texts, width, percent).unionByName(sure), "verified")
 
 
-def _mixed(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, n, id, size, component, regs) of the buckets whose members are not yet of one component."""
+def _crowded(members: DataFrame) -> DataFrame:
+    """``members`` (id, size, key) of the buckets of two members or more, with the count ``n``; written."""
+    crowded = members.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1")
+    return materialise(members.join(crowded, "key"), "members")
+
+
+def _mixed(members: DataFrame, labels: DataFrame, sets: DataFrame, content: str = "regs") -> DataFrame:
+    """(key, n, id, size, component, ``content``) of the buckets whose members are not yet of one component."""
     told = members.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "n", "id", "size", F.coalesce("component", "id").alias("component"))
     mixed = told.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("key")
-    return materialise(told.join(mixed, "key"), "mixed").join(sets.select("id", "regs"), "id")
+    return materialise(told.join(mixed, "key"), "mixed").join(sets.select("id", content), "id")
 
 
-def _pairs_in_blocks(mixed: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
-    """Pairs of a bucket's members that no link joins yet and whose sizes and registers allow one; each pair is
-    told where its first common band is. Buckets are cut into blocks by id hash. With ``all_pairs`` each two
-    blocks meet in a row; without, a block is by itself and each member names only its likeliest partner."""
+def _blocks(mixed: DataFrame, all_pairs: bool, content: str = "regs") -> DataFrame:
+    """(key, i, j, rows): buckets cut into blocks by id hash. With ``all_pairs`` each two blocks meet in a row;
+    without, a block is by itself."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rest = mixed.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks).cast("int")})
     if all_pairs:
@@ -247,7 +273,40 @@ def _pairs_in_blocks(mixed: DataFrame, percent: int, all_pairs: bool) -> DataFra
         rest = rest.withColumns({"i": F.least("own", "peer"), "j": F.greatest("own", "peer")})
     else:
         rest = rest.withColumns({"i": F.col("own"), "j": F.col("own")})
-    rows = rest.groupBy("key", "i", "j").agg(F.collect_list(F.struct("own", "id", "component", "size", "regs")).alias("rows")).where(F.size("rows") > 1)
+    return rest.groupBy("key", "i", "j").agg(F.collect_list(F.struct("own", "id", "component", "size", content)).alias("rows")).where(F.size("rows") > 1)
+
+
+def _exact_links(mixed: DataFrame, percent: int) -> DataFrame:
+    """The similar pairs among the members of a bucket, whose sets came whole, that no link joins yet."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[np.ndarray] = []
+            for i, j, rows in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                flat = rows.values
+                own, ids, comp, size = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                a, b = np.triu_indices(len(ids), 1)
+                want = (comp[a] != comp[b]) & sizes_fit(size[a], size[b], percent)
+                if i != j:
+                    want &= own[a] != own[b]
+                a, b = a[want], b[want]
+                if len(a):
+                    shingle = np.unique(np.frombuffer(b"".join(flat.field(4).to_pylist()), np.uint64), return_inverse=True)[1]
+                    holds = np.zeros((len(ids), int(shingle.max()) + 1), np.float32)
+                    holds[np.repeat(np.arange(len(ids)), size), shingle] = 1
+                    common = (holds @ holds.T)[a, b].astype(np.int64)
+                    good = 100 * common >= percent * (size[a] + size[b] - common)
+                    found.append(ids[np.stack([a[good], b[good]])])
+            if found:
+                x, y = np.concatenate(found, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y), pa.int64()), pa.array(np.minimum(x, y), pa.int64())], ["id", "other"])
+
+    return _blocks(mixed, True, "small").mapInArrow(compare, "id long, other long")
+
+
+def _pairs_in_blocks(mixed: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
+    """Pairs of a bucket's members that no link joins yet and whose sizes and registers allow one; each pair is
+    told where its first common band is. Without ``all_pairs`` each member names only its likeliest partner."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,7 +346,7 @@ def _pairs_in_blocks(mixed: DataFrame, percent: int, all_pairs: bool) -> DataFra
                 x, y = np.concatenate(found, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y), pa.int64()), pa.array(np.minimum(x, y), pa.int64())], ["id", "other"])
 
-    return rows.mapInArrow(compare, "id long, other long")
+    return _blocks(mixed, all_pairs).mapInArrow(compare, "id long, other long")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,15 +363,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     whose bands are shared most: in a group of near copies that is what they were copied from. Then, where a
     bucket's members are still of several components, each meets its likeliest partner of a block, and last all
     pairs that no link joins yet meet. So every pair that shares a band and may be similar is verified or joined
-    by other links, and a large group is joined long before its pairs are counted out.
+    by other links, and a large group is joined long before its pairs are counted out. Pairs with a SMALL set don't
+    rest on bands: what no link joins yet meets in the buckets of its rarest shingles and is compared in full.
     """
     prepare(docs.sparkSession)
-    rows = materialise(signatures(docs, width, id_col, text_col), "signatures")
+    rows = materialise(signatures(docs, width, percent, id_col, text_col), "signatures")
     sets = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").cast("int").alias("size"), F.first("regs").alias("regs"), F.first("small").alias("small"))
     sets = materialise(sets.where("id is not null"), "sets")
-    bands = _with_bands(sets)
-    crowded = bands.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1")
-    members = materialise(bands.join(crowded, "key"), "members")
+    members = _crowded(_with_bands(sets))
     central = members.groupBy("id").agg(F.sum("n").alias("shared"))
     leaders = members.join(central, "id").groupBy("key").agg(F.max_by(F.struct("id", "size"), F.struct("shared", -F.col("id"))).alias("leader"))
     stars = members.join(leaders, "key").where(F.col("id") != F.col("leader.id")).where(100 * F.least("size", F.col("leader.size")) >= percent * F.greatest("size", F.col("leader.size")))
@@ -326,6 +384,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
             break
         links = labels.select(F.col("node").alias("id"), F.col("component").alias("other")).unionByName(_linked(more, sets, texts, width, percent))
         labels = components(links, "id", "other")
+    exact = materialise(_exact_links(_mixed(_crowded(_with_prefixes(sets, percent)), labels, sets, "small"), percent), "exact")
+    if not exact.isEmpty():
+        labels = components(labels.select(F.col("node").alias("id"), F.col("component").alias("other")).unionByName(exact), "id", "other")
     classes = sets.select("digest", "id").join(labels, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component"))
     told = rows.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
