@@ -178,6 +178,18 @@ def test_short_texts_need_no_band(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6, 7: 7}
 
 
+def test_one_common_band_is_enough(spark):
+    """Long sets whose registers agree but for one of every other band than the first."""
+    a = np.random.default_rng(6).integers(0, 60_000, minhash.REGISTERS).astype(np.uint16)
+    b = a.copy()
+    b[np.setdiff1d(minhash.MEMBERS[1:, 0], minhash.MEMBERS[0])] ^= 1
+    keys = minhash.band_keys(np.stack([a, b]))
+    key, common = int(keys[0, 0]), (keys[0] == keys[1]).sum()
+    rows = [(key, 3, i, 400, i, bytearray(x.tobytes())) for i, x in ((1, a), (2, b))]
+    mixed = spark.createDataFrame(rows, "key long, n int, id long, size int, component long, regs binary")
+    assert common == 1 and [tuple(r) for r in minhash._pairs_in_blocks(mixed, 80, True).collect()] == [(2, 1)]
+
+
 def test_registers_estimate():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2)

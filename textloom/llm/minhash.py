@@ -32,9 +32,6 @@ SLACK, MARGIN = 3.5, 0.02
 #: Pairs whose smaller set has up to this size are found without fail: these sets, and all that may be similar to
 #: one, travel whole with their registers and meet in the buckets of their rarest shingles.
 SMALL = 48
-#: Sets from this size on fill the bands: at similarity 0.8 such a pair has one band or none in common with
-#: probability 8e-5, and few have ever no other link.
-LARGE = 200
 #: Members of a bucket that meet in one row.
 BLOCK = 128
 #: Bits of the map of ids whose texts are to be moved. Its size is fixed; when it fills up, it lets more texts pass.
@@ -327,9 +324,7 @@ def _pairs_in_blocks(mixed: DataFrame, percent: int, all_pairs: bool) -> DataFra
                 for s in range(0, len(a), 16384):
                     x, y = a[s : s + 16384], b[s : s + 16384]
                     common = (keys[x] == keys[y]) & (keys[x] != 0)
-                    # Told in the first common band alone; large sets as similar as that have another in common.
-                    own_band = keys[x, common.argmax(1)] == key
-                    own_band &= (common.sum(1) >= 2) | (np.minimum(size[x], size[y]) < LARGE)
+                    own_band = keys[x, common.argmax(1)] == key  # told in the first common band alone
                     x, y = x[own_band], y[own_band]
                     if len(x):
                         good = hopeful(regs[x], regs[y], size[x], size[y], percent)
