@@ -190,6 +190,22 @@ def test_one_common_band_is_enough(spark):
     assert common == 1 and [tuple(r) for r in minhash._pairs_in_blocks(mixed, 80, True).collect()] == [(2, 1)]
 
 
+def test_blocks_meet_after_an_empty_pass(spark, monkeypatch):
+    """A bucket of 130, in two blocks, whose only similar pair falls in both: no star and no first pass tells it."""
+    rng = np.random.default_rng(8)
+    hashes = spark.range(2, 131).select("id", F.pmod(F.xxhash64("id"), F.lit(2)).alias("own")).collect()
+    one, other = (next(r["id"] for r in hashes if r["own"] == k) for k in (0, 1))
+    texts = {i: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 300)) for i in range(1, 131)}
+    texts[other] = texts[one] + " more"
+    # The bucket is the first band that the pair has in common.
+    sets = minhash.registers([words.shingles(w, minhash.WIDTH) for w in words.words_of([texts[one].encode(), texts[other].encode()])])
+    keys = minhash.band_keys(sets)
+    key = int(keys[0, (keys[0] == keys[1]).argmax()])
+    monkeypatch.setattr(minhash, "_with_bands", lambda sets: sets.select("id", "size", F.lit(key).cast("long").alias("key")))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {i: min(one, other) if i in (one, other) else i for i in texts}
+
+
 def test_registers_estimate():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2)

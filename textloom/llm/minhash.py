@@ -376,7 +376,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     for all_pairs in (False, True):
         more = materialise(_pairs_in_blocks(_mixed(members.where("n > 2"), labels, sets), percent, all_pairs), "likely")
         if more.isEmpty():
-            break
+            continue  # blocks of a bucket meet in the second pass alone
         links = labels.select(F.col("node").alias("id"), F.col("component").alias("other")).unionByName(_linked(more, sets, texts, width, percent))
         labels = components(links, "id", "other")
     exact = materialise(_exact_links(_mixed(_crowded(_with_prefixes(sets, percent)), labels, sets, "small"), percent), "exact")
