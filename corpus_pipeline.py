@@ -23,16 +23,16 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id. Rows without an id stand behind all others
-    in their order; of rows that share an id one stays."""
-    behind = F.lit(1 << 62) + F.monotonically_increasing_id()
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), behind))
-    told = materialise(minhash.near_duplicates(keyed, id_col="__key").select("doc_id", "kept"), "kept")
-    kept = told.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows")).withColumnRenamed("doc_id", "__key")
-    out = keyed.join(kept, "__key")
-    if not kept.where("__rows > 1").isEmpty():
-        out = out.where("__rows = 1").unionByName(out.where("__rows > 1").dropDuplicates(["__key"]))
-    return out.select(*docs.columns)
+    """Of each group of near duplicates the row with the least id; rows without an id stand behind all others in
+    their order. Rows are told apart by a number of their own, so rows that share an id go only where their texts are
+    similar, or have no word at all."""
+    keyed = materialise(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
+    told = minhash.near_duplicates(keyed, id_col="__key").select(F.col("doc_id").alias("__key"), "n_shingles", "component_id")
+    told = told.join(keyed.select("__key", F.col("doc_id").cast("long").alias("__id")), "__key")
+    empty = F.col("n_shingles") == 0
+    group = [F.when(~empty, F.col("component_id")), F.when(empty, F.col("__id")), F.when(empty & F.col("__id").isNull(), F.col("__key"))]
+    kept = told.groupBy(*[x.alias(f"__g{i}") for i, x in enumerate(group)]).agg(F.min_by("__key", F.struct(F.col("__id").isNull(), "__id", "__key")).alias("__key"))
+    return keyed.join(materialise(kept.select("__key"), "kept"), "__key").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

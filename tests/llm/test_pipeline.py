@@ -42,6 +42,14 @@ def test_odd_rows_pass(spark):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    """Unlike texts of one id both stay; a copy of another document goes, though its id has a row that stays."""
+    rows = [(1, "a b c d e f", "en", "a", 5), (1, "g h i j k l", "en", "a", 5), (2, "A b c d e f", "en", "a", 5), (2, "m n o p q r", "en", "a", 5)]
+    docs = materialise(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "in")
+    got = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
+    assert got == [(1, "a b c d e f"), (1, "g h i j k l"), (2, "m n o p q r")]
+
+
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
