@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import functools
+import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows and bytes of one Arrow batch, where the session sets none: bounds what a Python worker holds at once.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -25,13 +33,69 @@ def session(app: str = "textloom", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+@functools.cache
+def _ship(application: str) -> str:
+    """This package as an archive for the executors' Python workers; made and sent once an application."""
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="textloom-")) / "textloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    SparkSession.getActiveSession().sparkContext.addPyFile(str(archive))
+    return str(archive)
+
+
+def prepare(spark: SparkSession) -> None:
+    """Give Python workers this package, and bound Arrow batches unless the session sets their bounds itself."""
+    _ship(spark.sparkContext.applicationId)
+    own = spark.conf.getAll
+    for key, value in ARROW.items():
+        if key not in own:
+            spark.conf.set(key, value)
+
+
 @functools.cache
 def _own_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix="textloom-")
 
 
+def _base(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_folder(context.applicationId)
+    return f"{base.rstrip('/')}/textloom/{context.applicationId}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the session names in spark.checkpoint.dir, or else in the context's own
-    checkpoint folder; a local one only where neither is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own_folder(spark.sparkContext.applicationId)
-    return f"{base.rstrip('/')}/textloom/{name}-{uuid.uuid4().hex}"
+    checkpoint folder. Where neither is set a local one serves a local master; on a cluster that is an error.
+
+    What is written there stays until the application ends, or ``release`` is called.
+    """
+    _release_at_exit(spark.sparkContext.applicationId)
+    return f"{_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that this application has written to ``shared_path``; frames that read it can't be used after."""
+    discard(spark, _base(spark))
+
+
+@functools.cache
+def _release_at_exit(application: str) -> None:
+    def clean() -> None:
+        spark = SparkSession.getActiveSession()
+        if spark is not None and spark.sparkContext._jsc is not None and spark.sparkContext.applicationId == application:
+            with contextlib.suppress(Exception):  # the context may be stopping
+                release(spark)
+
+    atexit.register(clean)
