@@ -2,28 +2,13 @@
 
 from __future__ import annotations
 
-import os
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from textloom.session import shared_path
-
-#: Rows and bytes of one Arrow batch: bounds what a Python worker holds at once.
-ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
-
-
-def prepare(spark: SparkSession) -> None:
-    """Make this package importable by Python workers and bound Arrow batches."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+from textloom.session import prepare, shared_path
 
+__all__ = ["hash32", "materialise", "null_safe_join", "prepare", "ranked", "shared_dir", "table"]
 
 shared_dir = shared_path
 
