@@ -25,49 +25,73 @@ from textloom.llm.encoding import encoder, vocabulary
 MAGIC = b"RPG1"
 #: Ids of a segment, about: what a task holds at once. A longer document is a segment of its own.
 SEGMENT = 1_000_000
-ROUNDS, LEAST = 4, 8
-TABLE_BITS = 20
+#: Times that a pair must be seen to become a rule, which takes some three symbols.
+LEAST = 8
+TABLE_BITS = 18
 FILES = "shard int, segment int, n_ids long, doc_ids array<long>, payload binary"
 DOCS = "shard int, segment int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
 
-def repair(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[int, list[int], np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair in rounds: all pairs seen ``least`` times become nonterminals at once; where chosen pairs overlap,
-    every other one of the run is replaced. Returns terminals, the first rule of each round, left, right, symbols.
-
-    Pairs are counted in a hash table with one pair per slot, the count being exact for the pair that holds it.
+def _counted(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct pairs, count of each, number of each place's pair), exactly: most by a table with a pair a slot, in
+    which the last writer stands; what other pairs have taken the slots of is sorted."""
+    slot = ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int32)
+    holder = np.full(1 << TABLE_BITS, -1, np.int64)
+    holder[slot] = pairs
+    own = holder[slot] == pairs
+    count = np.bincount(slot[own], minlength=1 << TABLE_BITS)
+    used = np.flatnonzero(count)
+    number = np.empty(1 << TABLE_BITS, np.int32)
+    number[used] = np.arange(len(used), dtype=np.int32)
+    which = number[slot]
+    rest = np.flatnonzero(~own)
+    distinct, other, more = np.unique(pairs[rest], return_inverse=True, return_counts=True)
+    which[rest] = len(used) + other
+    return np.concatenate([holder[used], distinct]), np.concatenate([count[used], more]), which
+
+
+def repair(ids: np.ndarray, least: int = LEAST) -> tuple[int, list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Re-Pair in rounds, until no pair is seen ``least`` times: all pairs seen so often become nonterminals at once;
+    where chosen pairs overlap, every other one of the run is replaced. Returns terminals, the first rule of each
+    round, left, right, symbols.
+
+    A pair that is seen less often stays so until one of its sides is replaced, so each round counts only the places
+    that the one before it changed or chose.
     """
     terminals = int(ids.max()) + 1 if len(ids) else 1
     symbols, firsts, left, right, made = ids.astype(np.int64), [], [], [], 0
-    slots = 1 << TABLE_BITS
-    for _ in range(rounds):
-        if len(symbols) < 2 or terminals + made + slots >= 1 << 24:
-            break
-        pair = symbols[:-1] << 24 | symbols[1:]
-        slot = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int32)
-        holder = np.zeros(slots, np.int64)
-        holder[slot] = pair
-        own = holder[slot] == pair
-        count = np.bincount(slot[own], minlength=slots)
+    active = np.arange(max(0, len(symbols) - 1))
+    while len(active):
+        pairs, count, which = _counted(symbols[active] << 24 | symbols[active + 1])
         chosen = np.flatnonzero(count >= least)
+        chosen = chosen[: (1 << 24) - terminals - made]
         if not len(chosen):
             break
-        rule = np.full(slots, -1, np.int32)
-        rule[chosen] = np.arange(made, made + len(chosen), dtype=np.int32)
-        mine = rule[slot]
-        mine[~own] = -1
-        hit = mine >= 0
-        place = np.arange(len(hit), dtype=np.int32)
-        start = np.maximum.accumulate(np.where(hit, np.int32(-1), place))  # the last place that is no hit
-        take = np.flatnonzero(hit & (((place - start) & 1) == 1))
+        rule = np.full(len(pairs), -1, np.int64)
+        rule[chosen] = np.arange(made, made + len(chosen))
+        hit = rule[which] >= 0
+        at, rules = active[hit], rule[which[hit]]
+        # Runs of neighbouring hits, of which the first, third, fifth ... are replaced.
+        place = np.arange(len(at))
+        begins = np.diff(at, prepend=-2) != 1
+        odd = (place - np.maximum.accumulate(np.where(begins, place, 0))) & 1
+        take, over = at[odd == 0], at[odd == 1]
         firsts.append(made)
-        left.append(holder[chosen] >> 24)
-        right.append(holder[chosen] & 0xFFFFFF)
-        symbols[take] = terminals + mine[take]
+        left.append(pairs[chosen] >> 24)
+        right.append(pairs[chosen] & 0xFFFFFF)
+        made += len(chosen)
+        symbols[take] = terminals + rules[odd == 0]
         keep = np.ones(len(symbols), bool)
         keep[take + 1] = False
-        symbols = symbols[keep]
-        made += len(chosen)
+        # What may now be seen often: pairs beside a new symbol, and chosen ones that are still there.
+        changed = np.zeros(len(symbols), bool)
+        changed[take] = True
+        changed[over[keep[over] & keep[np.minimum(over + 1, len(symbols) - 1)]]] = True
+        new = np.zeros(len(symbols), bool)
+        new[take] = True
+        symbols, changed, new = symbols[keep], changed[keep], new[keep]
+        changed[:-1] |= new[1:]
+        active = np.flatnonzero(changed[:-1])
     none = np.zeros(0, np.int64)
     return terminals, firsts, np.concatenate(left) if left else none, np.concatenate(right) if right else none, symbols
 
@@ -82,6 +106,16 @@ def expansion_lengths(terminals: int, firsts: list[int], left: np.ndarray, right
     return length
 
 
+def gather(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The ranges ``start``, ``length`` of ``pool``, one after the other."""
+    return pool[gather_places(start, length)]
+
+
+def gather_places(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers of the ranges ``start``, ``length``, one after the other."""
+    return np.arange(int(length.sum())) + np.repeat(start - (np.cumsum(length) - length), length)
+
+
 def write_segment(ids: np.ndarray, doc_lengths: list[int]) -> bytes:
     terminals, firsts, left, right, symbols = repair(ids)
     length = expansion_lengths(terminals, firsts, left, right)
@@ -105,22 +139,35 @@ class Segment:
         wide = np.zeros((n, 4), np.uint8)
         wide[:, :3] = np.frombuffer(payload, np.uint8, 3 * n, at).reshape(n, 3)
         self.symbols = wide.view("<u4").ravel()
+        self._pool = None
+
+    def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rules' expansions, where each begins), made once, a round after the other."""
+        if self._pool is None:
+            start = np.cumsum(self.length) - self.length
+            pool = np.empty(int(self.length.sum()), np.uint32)
+            for a, b in zip(self.firsts.tolist(), [*self.firsts[1:].tolist(), len(self.left)]):
+                at = start[a:b].copy()
+                for side in (self.left[a:b], self.right[a:b]):
+                    deep = side >= self.terminals
+                    pool[at[~deep]] = side[~deep]
+                    own = side[deep] - self.terminals
+                    n = self.length[own]
+                    pool[gather_places(at[deep], n)] = gather(pool, start[own], n)
+                    at += np.where(deep, self.length[np.where(deep, side - self.terminals, 0)], 1)
+            self._pool = pool, start
+        return self._pool
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """Undo the rounds, the last first: each round's nonterminals become their two sides."""
-        out = symbols.astype(np.uint32)
-        for first in self.firsts[::-1]:
-            deep = out >= self.terminals + first
-            if not deep.any():
-                continue
-            place = np.cumsum(deep) - deep + np.arange(len(out))
-            wider = np.empty(len(out) + int(deep.sum()), np.uint32)
-            rule = out[deep].astype(np.int64) - self.terminals
-            wider[place[~deep]] = out[~deep]
-            wider[place[deep]] = self.left[rule]
-            wider[place[deep] + 1] = self.right[rule]
-            out = wider
-        return out
+        symbols = symbols.astype(np.int64)
+        deep = symbols >= self.terminals
+        if not deep.any():
+            return symbols.astype(np.uint32)
+        pool, start = self._expansions()
+        rule = np.where(deep, symbols - self.terminals, 0)
+        n = np.where(deep, self.length[rule], 1)
+        first = np.where(deep, start[rule], len(pool) + np.arange(len(symbols)))
+        return gather(np.concatenate([pool, symbols.astype(np.uint32)]), first, n)
 
     def ids(self) -> np.ndarray:
         return self.expand(self.symbols)
@@ -145,7 +192,7 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int
     path = path or vocabulary()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, shard = encoder(path).encode, np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        encode, end, shard = encoder(path).encode_batch, np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         segment, doc_ids, held, size = 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -156,17 +203,19 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int
             return pa.RecordBatch.from_arrays(row, ["shard", "segment", "n_ids", "doc_ids", "payload"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py()) + end
-                if size and size + len(ids) // 4 > SEGMENT:
+            whole, counts = encode(batch.column(1))
+            raw, at = whole.astype("<u4").tobytes(), 0
+            for doc, count in zip(batch.column(0).to_pylist(), counts.tolist()):
+                if size and size + count + 1 > SEGMENT:
                     yield flush()
                 doc_ids.append(doc)
-                held.append(ids)
-                size += len(ids) // 4
+                held.append(raw[4 * at : 4 * (at + count)] + end)
+                size += count + 1
+                at += count
         if held:
             yield flush()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     by_id = rows.repartitionByRange(shards, "doc_id") if shards else rows.repartitionByRange("doc_id")
     by_id.sortWithinPartitions("doc_id").mapInArrow(make, FILES).write.option("compression", "zstd").parquet(out)
 
