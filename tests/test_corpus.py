@@ -115,3 +115,78 @@ def test_reconciler(spark, corpus, tmp_path):
     before = dict(rounds.reports)
     rounds.round(None, 0)  # the same batch again
     assert rounds.reports == before
+
+
+def test_reads_no_more_of_a_file_than_it_needs(spark, corpus, tmp_path):
+    reads = []
+
+    def read(path, start, stop):
+        with open(path, "rb") as f:
+            f.seek(start)
+            reads.append(stop - start)
+            return f.read(stop - start)
+
+    own = Corpus(spark, corpus.root, corpus.cache, read=read)
+    (tmp_path / "root" / "big.json").write_text("{" + ",".join(f'"k{i}": {i}' for i in range(100_000)) + "}")
+    first = own.read_json("big.json", limit=2)
+    assert [e["key"] for e in first["entries"]] == ["k0", "k1"] and first["scanned_bytes"] < 100 and sum(reads) <= 1 << 16
+    reads.clear()
+    assert own.read_json("big.json", cursor=first["next_cursor"], limit=2)["entries"][0]["key"] == "k2" and sum(reads) <= 1 << 16
+    reads.clear()
+    size = (tmp_path / "root" / "big.json").stat().st_size
+    assert own.read_slice("big.json", start=size - 10, length=10)["snippet"].endswith("}") and sum(reads) <= 200_000
+    stopped = own.read_json("big.json", limit=1000, cancelled=lambda: True)
+    assert (stopped["validation"], stopped["entries"]) == ("cancelled", [])
+    assert own.read_slice("big.json", find="k99999", cancelled=lambda: True)["search_status"] == "cancelled"
+
+
+def test_a_cancelled_refresh_leaves_the_index(spark, corpus, tmp_path):
+    from textloom.sources.index_store import Cancelled
+
+    corpus.refresh()
+    before = corpus.store.meta()
+    (tmp_path / "root" / "new.ts").write_text("export const late = 1\n")
+    asked = iter([False, False, True])
+    with pytest.raises(Cancelled):
+        corpus.refresh(cancelled=lambda: next(asked))
+    assert corpus.store.meta() == before and len(list((tmp_path / "cache").glob("index-*/g*"))) == 1
+    with corpus._lock, pytest.raises(Cancelled):
+        corpus.refresh(cancelled=lambda: True)
+    assert corpus.refresh()["added"] == 1
+    for k in range(3):
+        (tmp_path / "root" / "new.ts").write_text(f"export const late = {k}{k}\n" * (k + 1))
+        corpus.refresh()
+    assert len(list((tmp_path / "cache").glob("index-*/g*"))) == 2  # the current generation and the one before it
+    assert "cancelled" in (tmp_path / "cache" / "textloom.log").read_text()
+
+
+def test_an_index_that_breaks_its_rules_is_built_anew(spark, corpus):
+    corpus.refresh()
+    tables = corpus.store.load(corpus.fingerprint)[0]
+    bad = tables["files"].unionByName(spark.createDataFrame([("../x.ts", 1.0, 1, False)], tables["files"].schema))
+    stray = tables["symbols"].unionByName(spark.createDataFrame([("n", "gone.ts", 1, "const", "c", 0)], tables["symbols"].schema))
+    corpus.store.commit(tables | {"symbols": stray}, corpus.fingerprint, corpus.root, 1)
+    got, _, state = corpus.store.load(corpus.fingerprint)
+    assert state == "ok" and got["symbols"].where("file = 'gone.ts'").count() == 0  # symbols of unknown files go
+    corpus.store.commit(tables | {"files": bad}, corpus.fingerprint, corpus.root, 1)
+    assert corpus.store.load(corpus.fingerprint)[2] == "corrupt"
+    assert corpus.refresh()["added"] == 8 and corpus.status()["consistent"]
+
+
+def test_savings_spill_what_is_older(spark, corpus):
+    call = corpus.measure("slice", corpus.read_slice, lambda out: out["total_bytes"], defaults={"length": 9}, relevant={"length"})
+    call("a.ts", length=4)
+    call("a.ts")
+    call("a.ts", length=9)
+    got = corpus.savings(root=corpus.root + "/../" + corpus.root.rsplit("/", 1)[1], recent=1)
+    assert (got["aggregate"]["calls"], got["aggregate"]["dup_calls"], len(got["recent"]), got["spill_count"]) == (3, 1, 1, 2)
+
+
+def test_the_log_is_trimmed(corpus, tmp_path, monkeypatch):
+    from textloom.plans import corpus as module
+
+    monkeypatch.setattr(module, "LOG_BYTES", 1000)
+    for k in range(100):
+        corpus.log(f"line {k}")
+    lines = (tmp_path / "cache" / "textloom.log").read_text().splitlines()
+    assert lines[-1].endswith("line 99") and len(lines) < 40 and all("line " in x for x in lines)

@@ -11,7 +11,7 @@ import json
 import os
 import re
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,14 +64,16 @@ def decode_cursor(secret: bytes, cursor: str, path: str, mark: str) -> tuple[int
 
 
 class _Scan:
-    def __init__(self, data: bytes, depth: int, stop: int, until: float):
-        self.data, self.depth, self.stop, self.until, self.at, self.ticks = data, depth, stop, until, 0, 0
+    def __init__(self, data: bytes, depth: int, stop: int, until: float, cancelled: Callable[[], bool] | None = None):
+        self.data, self.depth, self.stop, self.until, self.at, self.ticks, self.cancelled = data, depth, stop, until, 0, 0, cancelled
 
     def blank(self) -> None:
         self.at = _BLANK.match(self.data, self.at).end()
         self.ticks += 1
         if self.at > self.stop or (self.at >= self.stop and self.stop < len(self.data)):
             raise Stop("scan_budget_exhausted", "budget_exhausted", min(self.at, self.stop))
+        if self.cancelled and self.ticks % 64 == 1 and self.cancelled():
+            raise Stop("cancelled", "cancelled", self.at)
         if self.ticks % 256 == 0 and time.monotonic() > self.until:
             raise Stop("time_budget_exhausted", "budget_exhausted", self.at)
 
@@ -145,22 +147,33 @@ class _Scan:
         self.blank()
 
 
-def scan_keys(data: bytes, path: str = "", mark: str = "", cursor: str | None = None, secret: bytes | None = None, **limits: int) -> dict:
+class MoreNeeded(Exception):
+    """The part of a text that was given ends too soon."""
+
+
+def scan_keys(data: bytes, path: str = "", mark: str = "", cursor: str | None = None, secret: bytes | None = None, base: int = 0, total: int | None = None, last: bool = False, cancelled: Callable[[], bool] | None = None, **limits: int) -> dict:
     """A page of the top-level entries: key, byte_start, byte_end (half open) and a preview, in source order with
-    repeats. ``validation`` is complete only when the rest of the text was read and obeys the grammar."""
+    repeats. ``validation`` is complete only when the rest of the text was read and obeys the grammar.
+
+    ``data`` may be a part of a text of ``total`` bytes that begins at ``base``; where its end stops the scan,
+    ``MoreNeeded`` is raised, or, of the ``last`` part that the scan's budget allows, the budget is exhausted.
+    ``cancelled`` is asked now and then; a cancelled scan says so."""
     lim = {k: positive(limits.get(k), default, k, most) for k, (default, most) in LIMITS.items()}
     secret = secret or _secret
     start, count = decode_cursor(secret, cursor, path, mark) if cursor else (0, 0)
+    start -= base
+    partial = total is not None and base + len(data) < total
     if cursor and data[start - 1 : start] != b",":
         raise ValueError("stale_cursor")
-    scan = _Scan(data, lim["max_depth"], min(len(data), start + lim["max_scan_bytes"]), time.monotonic() + lim["max_time_ms"] / 1000)
+    scan = _Scan(data, lim["max_depth"], min(len(data), start + lim["max_scan_bytes"]), time.monotonic() + lim["max_time_ms"] / 1000, cancelled)
     scan.at = start
     room = lim["max_output_bytes"] - RESERVED
     out = {"top_level": "object" if cursor else "error", "entries": [], "has_more": False, "validation": "incomplete", "total_keys": None, "next_cursor": None, "code": None, "resume_offset": None, "value_start": None, "top_preview": ""}
     used, value_start = 0, None
 
     def page_end(boundary: int) -> None:
-        out["has_more"], out["next_cursor"] = True, encode_cursor(secret, path, mark, boundary, count)
+        out["has_more"], out["next_cursor"] = True, encode_cursor(secret, path, mark, base + boundary, count)
+        out["scanned_bytes"] = boundary - start
 
     try:
         boundary, first = start, not cursor
@@ -200,9 +213,9 @@ def scan_keys(data: bytes, path: str = "", mark: str = "", cursor: str | None =
             text = data[begin : scan.at][: 4 * lim["max_preview"] + 4].decode("utf-8", "ignore")
             preview = shorten(text, lim["max_preview"])
             preview += "…" if len(preview.encode()) < scan.at - begin else ""
-            while preview and len(_entry_json(key, begin, scan.at, preview)) > room - used - 1:
+            while preview and len(_entry_json(key, base + begin, base + scan.at, preview)) > room - used - 1:
                 preview = shorten(preview, utf16(preview) * 3 // 4)
-            entry = {"key": key, "byte_start": begin, "byte_end": scan.at, "preview": preview}
+            entry = {"key": key, "byte_start": base + begin, "byte_end": base + scan.at, "preview": preview}
             scan.blank()
             b = scan.byte()
             if b not in (44, 125):
@@ -220,15 +233,41 @@ def scan_keys(data: bytes, path: str = "", mark: str = "", cursor: str | None =
         scan.blank()
         if scan.at < len(data):
             raise Stop("trailing_content", "invalid", scan.at)
+        if partial:
+            raise Stop("unexpected_end", "invalid", scan.at)
         out["validation"] = "complete"
         out["total_keys"] = count if out["top_level"] == "object" else None
     except Stop as e:
+        # A token that the part's end cuts may look wrong; only what the whole text says counts.
+        if partial and e.validation != "cancelled" and e.code not in ("time_budget_exhausted", "depth_budget_exhausted", "output_budget_exhausted", "key_budget_exhausted"):
+            if not last:
+                raise MoreNeeded from e
+            e = Stop("scan_budget_exhausted", "budget_exhausted", start + lim["max_scan_bytes"])
         out |= {"validation": e.validation, "code": e.code}
         if e.validation == "budget_exhausted":
-            out |= {"resume_offset": e.at, "value_start": value_start}
+            out |= {"resume_offset": base + e.at, "value_start": None if value_start is None else base + value_start}
+    out["scanned_bytes"] = scan.at - start
     return out
 
 
+#: Bytes that are read of a file at first; each further part has eight times as many.
+FIRST_PART = 1 << 16
+
+
+def scan_file(read: Callable[[int, int], bytes], total: int, path: str, mark: str, cursor: str | None = None, secret: bytes | None = None, **limits) -> dict:
+    """``scan_keys`` of a file that ``read(start, stop)`` gives in parts: no more is read than the page needs, nor than
+    its budget lets it scan."""
+    start = max(0, decode_cursor(secret or _secret, cursor, path, mark)[0] - 1) if cursor else 0
+    most = positive(limits.get("max_scan_bytes"), LIMITS["max_scan_bytes"][0], "max_scan_bytes") + 1
+    size = FIRST_PART
+    while True:
+        stop = min(total, start + min(size, most))
+        try:
+            return scan_keys(read(start, stop), path, mark, cursor, secret, base=start, total=total, last=size >= most, **limits) | {"total_bytes": total}
+        except MoreNeeded:
+            size *= 8
+
+
 def _entry_json(key: str, byte_start: int, byte_end: int, preview: str) -> bytes:
     return json.dumps({"key": key, "byteStart": byte_start, "byteEnd": byte_end, "preview": preview}, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass")
 

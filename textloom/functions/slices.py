@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass
 
 import pyarrow as pa
@@ -36,9 +36,30 @@ def window_columns(data: Column, start: Column, length: Column, tail: bool = Fal
     return F.struct(begin.alias("byte_offset"), size.alias("length_bytes"), total.alias("total_bytes"), text.alias("snippet"), end.alias("next_offset"), (end < total).alias("may_truncate"), ((begin != asked) | (size > length)).alias("range_adjusted"))
 
 
+class FileBytes:
+    """A file as a sequence of bytes, of which only what is asked for is read, a page at a time for single bytes."""
+
+    PAGE = 1 << 16
+
+    def __init__(self, read: Callable[[int, int], bytes], size: int):
+        self.read, self.size, self.page, self.held = read, size, -1, b""
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at):
+        if isinstance(at, slice):
+            start, stop, _ = at.indices(self.size)
+            return self.read(start, stop) if stop > start else b""
+        page = at // self.PAGE
+        if page != self.page:
+            self.page, self.held = page, self.read(page * self.PAGE, min(self.size, (page + 1) * self.PAGE))
+        return self.held[at - page * self.PAGE]
+
+
 @dataclass
 class Found:
-    """hit: byte offset; status: matched, not_found, byte_budget, time_budget or not_requested."""
+    """hit: byte offset; status: matched, not_found, byte_budget, time_budget, cancelled or not_requested."""
 
     hit: int | None = None
     status: str = "not_requested"
@@ -69,8 +90,11 @@ def backward(data: bytes, begin: int, end: int) -> int:
     return lead if lead < len(data) and data[lead] & 0xC0 != 0x80 else end
 
 
-def folded(text: str) -> tuple[str, list[int]]:
+def folded(text: str) -> tuple[str, Sequence[int]]:
     """The text with each character lower-cased by itself, and where each of its characters begins in the result."""
+    low = text.lower()
+    if text.isascii():
+        return low, range(len(text))
     parts = [c.lower() for c in text]
     starts, at = [], 0
     for p in parts:
@@ -79,7 +103,7 @@ def folded(text: str) -> tuple[str, list[int]]:
     return "".join(parts), starts
 
 
-def find_literal(data: bytes, needle: str, begin: int = 0, most: int = MOST_SEARCH, budget_ms: int = BUDGET_MS, chunk: int = 65536) -> Found:
+def find_literal(data: bytes | FileBytes, needle: str, begin: int = 0, most: int = MOST_SEARCH, budget_ms: int = BUDGET_MS, chunk: int = 65536, cancelled: Callable[[], bool] | None = None) -> Found:
     """The first place, as a byte offset, where ``needle`` occurs without regard to case. Chunks overlap by what
     may still begin a match; a search that its bytes end says where to go on."""
     if len(needle) > LONGEST_LITERAL:
@@ -91,6 +115,9 @@ def find_literal(data: bytes, needle: str, begin: int = 0, most: int = MOST_SEAR
     at, held, base = begin, "", begin
     out = Found(begin=begin, end=begin, status="not_found")
     while at < limit:
+        if cancelled and cancelled():
+            out.status = "cancelled"
+            return out
         stop = min(limit, at + chunk)
         safe = backward(data, at, stop) if stop < len(data) else stop
         held += data[at:safe].decode("utf-8")
@@ -117,7 +144,7 @@ def find_literal(data: bytes, needle: str, begin: int = 0, most: int = MOST_SEAR
     return out
 
 
-def find_regex(data: bytes, pattern: str, begin: int = 0, most: int = REGEX_SCAN, budget_ms: int = BUDGET_MS) -> Found:
+def find_regex(data: bytes | FileBytes, pattern: str, begin: int = 0, most: int = REGEX_SCAN, budget_ms: int = BUDGET_MS, cancelled: Callable[[], bool] | None = None) -> Found:
     """The first match in one continuous window, whose edges anchors see; a runaway match ends with its budget."""
     import regex
 
@@ -129,6 +156,9 @@ def find_regex(data: bytes, pattern: str, begin: int = 0, most: int = REGEX_SCAN
     end = backward(data, begin, stop) if stop < len(data) else stop
     text = data[begin:end].decode("utf-8")
     out = Found(begin=begin, end=end, scanned=stop - begin)
+    if cancelled and cancelled():
+        out.status = "cancelled"
+        return out
     try:
         m = compiled.search(text, timeout=budget_ms / 1000)
     except TimeoutError:
@@ -160,7 +190,7 @@ def _whole(value: int | None, default: int, name: str, least: int, most: int) ->
     return out
 
 
-def read_slice(data: bytes, start: int | None = None, length: int | None = None, find: str | None = None, find_from: int | None = None, context_before: int | None = None, mode: str = "window", regex: bool = False, search_bytes: int | None = None, budget_ms: int | None = None) -> dict:
+def read_slice(data: bytes | FileBytes, start: int | None = None, length: int | None = None, find: str | None = None, find_from: int | None = None, context_before: int | None = None, mode: str = "window", regex: bool = False, search_bytes: int | None = None, budget_ms: int | None = None, cancelled: Callable[[], bool] | None = None) -> dict:
     """A window of ``data``, placed by ``start``, at its tail, or around what ``find`` finds."""
     length = _whole(length, WINDOW, "length", 1, MOST_WINDOW)
     start = _whole(start, 0, "start", 0, 1 << 53)
@@ -175,7 +205,7 @@ def read_slice(data: bytes, start: int | None = None, length: int | None = None,
     elif find:
         most = _whole(search_bytes, REGEX_SCAN if regex else MOST_SEARCH, "search_bytes", 1, MOST_SEARCH)
         ms = _whole(budget_ms, BUDGET_MS, "budget", 1, MOST_BUDGET_MS)
-        found = (find_regex if regex else find_literal)(data, find, find_from, most, ms)
+        found = (find_regex if regex else find_literal)(data, find, find_from, most, ms, cancelled=cancelled)
         asked = min(find_from, len(data)) if found.hit is None else max(0, found.hit - before)
     begin = forward(data, asked)
     end = forward(data, min(len(data), begin + length))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,29 @@ def report(states: DataFrame) -> DataFrame:
     )
 
 
+def status(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: files, pending_files, symbols, imports, and whether all of them obey the index rules."""
+    one = files.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.coalesce("pending", F.lit(False))).alias("pending_files"))
+    for rows, name in ((symbols, "symbols"), (edges, "imports")):
+        one = one.crossJoin(rows.agg(F.count(F.lit(1)).alias(name)))  # one row each
+    return one.crossJoin(violations(files, symbols, edges).agg((F.count(F.lit(1)) == 0).alias("consistent")))
+
+
+def pending(files: DataFrame) -> DataFrame:
+    """(path, size) of the files that the last refresh could not read."""
+    return files.where(F.coalesce("pending", F.lit(False))).select("path", "size")
+
+
+def staleness(verified_ms: Column, now_ms: Column) -> Column:
+    """Milliseconds since the index was last verified, 0 where it never was or time ran backwards."""
+    return F.coalesce(F.greatest(F.lit(0).cast("long"), now_ms - verified_ms), F.lit(0).cast("long"))
+
+
+def of_known_files(rows: DataFrame, files: DataFrame, file_col: str = "file") -> DataFrame:
+    """``rows`` whose file is one of ``files`` (path)."""
+    return rows.join(files.select(F.col("path").alias(file_col)), file_col, "left_semi").select(*rows.columns)
+
+
 def violations(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """(rule, rows) of the index rules that rows break; none, if the index is sound."""
     from textloom.functions.scalar import valid_relative

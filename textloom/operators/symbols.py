@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions.scalar import directory_parts, extension, match_tier, name_matches
+from textloom.operators.graph import checkpointed
 
 
 def matching(symbols: DataFrame, name: str, kind: str | None = None) -> DataFrame:
@@ -32,11 +33,20 @@ def matched_bytes(hits: DataFrame, files: DataFrame) -> DataFrame:
     return own.join(hits.select("file").distinct(), "file", "left_semi").agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"), F.count(F.lit(1)).alias("files"))
 
 
+def numbered(rows: DataFrame, order: list[Column], out: str = "place") -> DataFrame:
+    """``rows`` with their 1-based places in ``order``. No task has all rows: they are sorted by ranges, written, and
+    each range's count, a row each, tells where the next one begins."""
+    placed = checkpointed(rows.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part, within = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return placed.join(F.broadcast(before.drop("__n")), part == F.col("__part")).withColumn(out, F.col("__before") + within + 1).drop("__at", "__part", "__before")
+
+
 def page(rows: DataFrame, order: list[Column], limit: int) -> tuple[DataFrame, DataFrame]:
-    """The first ``limit`` rows, and the rest. The page is a top-k; the rest is all rows without it."""
-    first = rows.orderBy(*order).limit(limit)
-    rest = rows.orderBy(*order).offset(limit)
-    return first, rest
+    """The first ``limit`` rows, and the rest. The page is a top-k; the rest is told by its places."""
+    place = "__place"
+    return rows.orderBy(*order).limit(limit), numbered(rows, order, place).where(F.col(place) > limit).drop(place)
 
 
 def first_context(symbols: DataFrame, text: Column) -> DataFrame:
@@ -63,10 +73,6 @@ def deduplicated(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), F.col("seq")).alias("r")).select("r.*")
 
 
-def nth(rows: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
-    return rows.withColumn("n", F.row_number().over(W.partitionBy(*group).orderBy(*order)))
-
-
 def cost(files: DataFrame, hits: DataFrame, output_chars: int) -> DataFrame:
     """Tokens of an answer against those of reading the matched files, or, with no hit, all files."""
     from textloom.functions.scalar import saved_percent, saved_tokens, tokens
