@@ -16,14 +16,13 @@ from textloom.schemas import EDGES, SYMBOLS
 # The file families and the forms that count as declarations and imports.
 SCRIPT = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts")
 TYPED = (".ts", ".tsx", ".mts", ".cts")
-_WORD = r"[A-Za-z_$][\w$]*"
 DECLARATIONS = {
     "script": [
-        ("function", rf"^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*({_WORD})"),
-        ("class", rf"^[ \t]*(?:export\s+)?(?:abstract\s+)?class\s+({_WORD})"),
-        ("const", rf"^[ \t]*(?:export\s+)?(?:const|let|var)\s+({_WORD})\s*(?:=|\:)"),
-        ("type", rf"^[ \t]*(?:export\s+)?type\s+({_WORD})\s*="),
-        ("interface", rf"^[ \t]*(?:export\s+)?interface\s+({_WORD})"),
+        ("function", r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)"),
+        ("class", r"^[ \t]*(?:export\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)"),
+        ("const", r"^[ \t]*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?:=|\:)"),
+        ("type", r"^[ \t]*(?:export\s+)?type\s+([A-Za-z_$][\w$]*)\s*="),
+        ("interface", r"^[ \t]*(?:export\s+)?interface\s+([A-Za-z_$][\w$]*)"),
     ],
     "python": [("function", r"^[ \t]*(?:async\s+)?def\s+(\w+)"), ("class", r"^[ \t]*class\s+(\w+)")],
     "go": [("func", r"^[ \t]*func\s*(?:\([^)]*\)\s*)?([A-Za-z_]\w*)"), ("type", r"^[ \t]*type\s+([A-Za-z_]\w*)\s+(?:struct|interface)")],
@@ -160,7 +159,6 @@ def symbols_of(files: DataFrame, max_context: int = 240, max_bytes: int | None =
 
 def imports_of(files: DataFrame, max_context: int = 240, max_bytes: int | None = None) -> DataFrame:
     """(from, specifier, line, context, seq, status, candidates) of ``files`` (path, text)."""
-    schema = "from string, specifier string, line int, context string, seq int, status string, candidates array<string>"
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,7 +171,22 @@ def imports_of(files: DataFrame, max_context: int = 240, max_bytes: int | None =
             columns = list(zip(*rows)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["from", "specifier", "line", "context", "seq", "status", "candidates"])
 
-    return _texts(files, max_bytes).mapInArrow(extract, schema)
+    return _texts(files, max_bytes).mapInArrow(extract, CANDIDATES)
+
+
+CANDIDATES = "from string, specifier string, line int, context string, seq int, status string, candidates array<string>"
+
+
+def with_candidates(edges: DataFrame) -> DataFrame:
+    """Edges (from, specifier, line, context, seq) with the candidates of their targets, as the set of files may have
+    changed."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [targets(f, s) for f, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s or None for s, _ in told], pa.string()), pa.array([c for _, c in told], pa.list_(pa.string()))], [*batch.schema.names, "status", "candidates"])
+
+    return edges.select("from", "specifier", F.col("line").cast("int").alias("line"), "context", F.col("seq").cast("int").alias("seq")).mapInArrow(found, CANDIDATES)
 
 
 def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:

@@ -275,20 +275,22 @@ def _entry_json(key: str, byte_start: int, byte_end: int, preview: str) -> bytes
 KEYS = "id long, ordinal int, key string, byte_start long, byte_end long, preview string, validation string, total_keys long"
 
 
-def json_keys(rows: DataFrame, id_col: str, text_col: str, **limits: int) -> DataFrame:
-    """A row per top-level key of each row's text, all pages; a text without any gives one row of nulls."""
+def json_keys(rows: DataFrame, id_col: str, text_col: str, page_number: int | None = None, **limits: int) -> DataFrame:
+    """A row per top-level key of each row's text, all pages or the one of ``page_number`` (from 0); a text, or page,
+    without any gives one row of nulls."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data, cursor, entries = (text or "").encode(), None, []
+                data, cursor, entries, number = (text or "").encode(), None, [], 0
                 while True:
                     page = scan_keys(data, cursor=cursor, **limits)
-                    entries += page["entries"]
+                    entries += page["entries"] if page_number in (None, number) else []
                     cursor = page["next_cursor"]
-                    if not cursor:
+                    if not cursor or number == page_number:
                         break
+                    number += 1
                 end = (page["validation"], page["total_keys"])
                 rows += [(row, i, e["key"], e["byte_start"], e["byte_end"], e["preview"], *end) for i, e in enumerate(entries)] or [(row, None, None, None, None, None, *end)]
             kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]

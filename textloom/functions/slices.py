@@ -217,6 +217,38 @@ def read_slice(data: bytes | FileBytes, start: int | None = None, length: int |
     return {"byte_offset": begin, "length_bytes": end - begin, "total_bytes": len(data), "snippet": snippet, "next_offset": end, "may_truncate": end < len(data), "range_adjusted": begin != asked or end - begin > length, "scope": scope, **{f"search_{k}": v for k, v in asdict(found).items()}}
 
 
+AROUND = "id long, byte_offset long, length_bytes long, snippet string, status string"
+
+
+def slices_around(rows: DataFrame, find: str, before: int, length: int, id_col: str = "doc_id", text_col: str = "text", **request) -> DataFrame:
+    """(id, byte_offset, length_bytes, snippet, status): of each row's text the window around what is found in it."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [read_slice(x.encode() if x else b"", length=length, find=find, context_before=before, **request) for x in batch.column(1).to_pylist()]
+            columns = [pa.array([g[k] for g in got], kind) for k, kind in (("byte_offset", pa.int64()), ("length_bytes", pa.int64()), ("snippet", pa.string()), ("search_status", pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "byte_offset", "length_bytes", "snippet", "status"])
+
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, AROUND)
+
+
+def paged(texts: DataFrame, length: int, id_col: str = "doc_id", data_col: str = "data") -> DataFrame:
+    """(id, page, byte_offset, piece): each binary text in windows that begin at every ``length``-th byte, moved
+    forward to a character, in one pass over it."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                data = data or b""
+                starts = [forward(data, at) for at in range(0, len(data) + 1, length)]
+                out += [(row, k, a, data[a:b].decode("utf-8")) for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(data)]))]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 4, kinds)], ["id", "page", "byte_offset", "piece"])
+
+    return texts.select(F.col(id_col).cast("long").alias("id"), data_col).mapInArrow(cut, "id long, page int, byte_offset long, piece string")
+
+
 FOUND = "hit_byte long, status string, complete boolean, scanned long, next_from long"
 
 

@@ -14,6 +14,10 @@ def filtered(ledger: DataFrame, root: str | None = None, tool: str | None = None
     return out.where(F.col("tool") == tool) if tool else out
 
 
+def of_root(rows: DataFrame, root: str) -> DataFrame:
+    return rows.where(F.col("root") == root)
+
+
 def totals(ledger: DataFrame) -> DataFrame:
     """One row: calls, failures, sums, duplicate calls (an empty hash is never the first of its kind) and the saved
     share of the estimate of all bytes."""

@@ -105,7 +105,7 @@ class Corpus:
         fresh_imports = extract.imports_of(good, self.max_context, self.max_scan)
         symbols = graphs.checkpointed(snapshot.merged(tables["symbols"], fresh_symbols, states, "file"))
         old = tables["edges"].join(states.where("state = 'unchanged'").select(F.col("path").alias("from")), "from", "left_semi")
-        again = old.select("from", "specifier", "line", "context", "seq").mapInArrow(_candidates, _CANDIDATES)
+        again = extract.with_candidates(old)
         files = states.where("state <> 'dropped'").join(failed.select("path", F.lit(True).alias("pending")).distinct(), "path", "left")
         files = graphs.checkpointed(files.select("path", "mtime_ms", "size", F.coalesce("pending", F.lit(False)).alias("pending")))
         edges = graphs.checkpointed(extract.resolve(again.unionByName(fresh_imports), files))
@@ -168,7 +168,7 @@ class Corpus:
         if not os.path.isdir(path) and ":" not in path:
             return self.spark.createDataFrame([], schemas.HISTORY), self.spark.createDataFrame([], "line string")
         rows, corrupt = jsonl.read(self.spark, path, schemas.HISTORY, ["ts", "root", "scanned_bytes", "symbols"])
-        return rows if every_root else rows.where(F.col("root") == self.root), corrupt
+        return rows if every_root else ledgers.of_root(rows, self.root), corrupt
 
     def _contexts(self, tables: dict[str, DataFrame]) -> DataFrame:
         named = finding.first_context(tables["symbols"], scalar.symbol_text(F.col("file"), F.col("line"), F.col("kind"), F.col("name"), F.col("context")))
@@ -302,15 +302,3 @@ def _read_range(path: str, start: int, stop: int) -> bytes:
     with open(path, "rb") as f:
         f.seek(start)
         return f.read(stop - start)
-
-
-_CANDIDATES = "from string, specifier string, line int, context string, seq int, status string, candidates array<string>"
-
-
-def _candidates(batches):
-    """Old edges with their candidates anew, as the set of files may have changed."""
-    import pyarrow as pa
-
-    for batch in batches:
-        found = [extract.targets(f, s) for f, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s or None for s, _ in found], pa.string()), pa.array([c for _, c in found], pa.list_(pa.string()))], [*batch.schema.names, "status", "candidates"])

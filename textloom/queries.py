@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from textloom.functions import extract, json_keys, scalar, slices
 from textloom.operators import graph, ledger, snapshot, symbols
 from textloom.sources import jsonl
 from textloom import schemas
+from textloom.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -165,10 +167,10 @@ PLACE = f"CAST(row_number() OVER (ORDER BY {RANK_ORDER}) AS BIGINT) AS place"
 
 
 def _ranked(spark: SparkSession, sf_dir: str, boost: list[str] | None) -> DataFrame:
-    """All hits with their place in the order: the place comes from one sort, as the order is the answer."""
+    """All hits with their place in the order."""
     hits = symbols.matching(v_symbols(spark, sf_dir), "Red")
     rows, order = symbols.with_order(hits, "Red", v_ranks(spark, sf_dir), boost)
-    return symbols.nth(rows, [], order).withColumn("place", F.col("n").cast("long")).drop("n")
+    return symbols.numbered(rows, order)
 
 
 @query(f"WITH {V_SYMBOLS}, r AS ({RANKED.format(boost='false')}) SELECT name, file, line, kind, context, seq, tier, boost, rank, {PLACE} FROM r")
@@ -337,22 +339,53 @@ def extract_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.resolve(extract.imports_of(files), files)
 
 
-LINKS = """links AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages), paths AS (SELECT DISTINCT regexp_replace(url, '^[a-z]+://[^/]+', '') AS path FROM pages)"""
+LINKS = """l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link, unnest(range(len(regexp_extract_all(html, 'href="([^"]*)"', 1)))) AS seq FROM pages),
+paths AS (SELECT DISTINCT substr(regexp_replace(url, '^[a-z]+://[^/]+', ''), 2) AS path FROM pages)"""
 
 
-@query(f"""WITH {LINKS}, n AS (SELECT page_id, link, regexp_replace(link, '^[a-z]+://[^/]+', '') AS path FROM links)
-SELECT page_id, link, CASE WHEN starts_with(link, '#') THEN 'unresolved' WHEN NOT starts_with(link, '/') THEN 'external' WHEN paths.path IS NOT NULL THEN 'resolved' ELSE 'unresolved' END AS status, CASE WHEN starts_with(link, '/') THEN paths.path END AS target, count(*) AS n
-FROM n LEFT JOIN paths ON n.path = paths.path GROUP BY ALL""")
+@query(f"""WITH {LINKS} SELECT 'p' || page_id || '.ts' AS "from", '.' || link AS specifier, CASE WHEN path IS NULL THEN 'unresolved' ELSE 'resolved' END AS status, path AS target, coalesce(path, '.' || link) AS "to", CAST(seq + 1 AS INT) AS line, link AS context, CAST(seq AS INT) AS seq
+FROM l LEFT JOIN paths ON substr(link, 2) = path""")
 def resolve_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of pages as imports of the paths that pages have, all relative to the root."""
     pages = table(spark, sf_dir, "pages")
-    links = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("link"))
-    host = r"^[a-z]+://[^/]+"
-    paths = pages.select(F.regexp_replace("url", host, "").alias("path")).distinct()
-    counts = links.groupBy("page_id", "link").agg(F.count(F.lit(1)).alias("n"))
-    met = counts.withColumn("own", F.regexp_replace("link", host, "")).join(paths, F.col("own") == F.col("path"), "left")
-    inner = F.startswith("link", F.lit("/"))
-    status = F.when(F.startswith("link", F.lit("#")), "unresolved").when(~inner, "external").when(F.col("path").isNotNull(), "resolved").otherwise("unresolved")
-    return met.select("page_id", "link", status.alias("status"), F.when(inner, F.col("path")).alias("target"), "n")
+    found = pages.select(F.col("page_id"), F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("seq", "link"))
+    rows = found.select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".ts")).alias("from"), F.concat(F.lit("."), "link").alias("specifier"), (F.col("seq") + 1).alias("line"), F.col("link").alias("context"), "seq")
+    files = pages.select(F.substring(F.regexp_replace("url", r"^[a-z]+://[^/]+", ""), 2, 1 << 30).alias("path"))
+    return extract.resolve(extract.with_candidates(rows), files)
+
+
+SHAPES = ["./u" , "../q/k.js", "@/x", "pkg", "/up", "..", "./dir", "./w.mjs", "../../../far", "#a"]
+
+
+@query("""WITH e AS (SELECT r_regionkey AS k, 'a/b' || r_regionkey || '/f.ts' AS f FROM region), t AS (SELECT f, unnest([
+{'s': './u', 'st': 'resolved', 'g': 'a/b' || k || '/u.ts'}, {'s': '../q/k.js', 'st': 'resolved', 'g': 'a/q/k.ts'}, {'s': '@/x', 'st': 'unresolved', 'g': NULL}, {'s': 'pkg', 'st': 'external', 'g': NULL},
+{'s': '/up', 'st': 'outside', 'g': NULL}, {'s': '..', 'st': 'resolved', 'g': 'a/index.ts'}, {'s': './dir', 'st': 'resolved', 'g': 'a/b' || k || '/dir/index.js'}, {'s': './w.mjs', 'st': 'resolved', 'g': 'a/b' || k || '/w.mts'},
+{'s': '../../../far', 'st': 'outside', 'g': NULL}, {'s': '#a', 'st': 'unresolved', 'g': NULL}]) AS x FROM e) SELECT f AS "from", x.s AS specifier, x.st AS status, x.g AS target FROM t""")
+def resolve_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every form of a specifier: relative, by counterpart, aliased, external, absolute, folders, beyond the root."""
+    k = F.col("r_regionkey").cast("string")
+    regions = table(spark, sf_dir, "region")
+    rows = regions.select(F.concat(F.lit("a/b"), k, F.lit("/f.ts")).alias("from"), F.posexplode(F.array(*map(F.lit, SHAPES))).alias("seq", "specifier")).withColumns({"line": F.lit(1), "context": F.lit("")})
+    here = [F.concat(F.lit("a/b"), k, F.lit(x)) for x in ("/u.ts", "/u.js", "/dir/index.js", "/w.mts", "/w.cts")]
+    files = regions.select(F.explode(F.array(*here, F.lit("a/q/k.ts"), F.lit("a/q/k.jsx"), F.lit("a/index.ts"))).alias("path"))
+    return extract.resolve(extract.with_candidates(rows), files).select("from", "specifier", "status", "target")
+
+
+@query("""SELECT name, file, CAST(line AS INT) AS line, kind, context, CAST(seq AS INT) AS seq FROM (SELECT unnest([
+{'name': 'run' || r_regionkey, 'file': 'r' || r_regionkey || '.rs', 'line': 1, 'kind': 'fn', 'context': 'pub(crate) async fn run' || r_regionkey, 'seq': 0}, {'name': 'Box' || r_regionkey, 'file': 'r' || r_regionkey || '.rs', 'line': 2, 'kind': 'type', 'context': 'pub struct Box' || r_regionkey, 'seq': 1},
+{'name': 'K', 'file': 'r' || r_regionkey || '.rs', 'line': 3, 'kind': 'type', 'context': 'enum K', 'seq': 2}, {'name': 'go' || r_regionkey, 'file': 'r' || r_regionkey || '.kt', 'line': 1, 'kind': 'function', 'context': 'private static function go' || r_regionkey, 'seq': 0},
+{'name': 'C', 'file': 'r' || r_regionkey || '.kt', 'line': 2, 'kind': 'class', 'context': 'abstract class C', 'seq': 1}, {'name': 'T' || r_regionkey, 'file': 'r' || r_regionkey || '.tsx', 'line': 1, 'kind': 'type', 'context': 'export type T' || r_regionkey || ' =', 'seq': 0},
+{'name': 'I', 'file': 'r' || r_regionkey || '.tsx', 'line': 2, 'kind': 'interface', 'context': 'interface I', 'seq': 1}]) AS x FROM region) t(x), LATERAL (SELECT x.name AS name, x.file AS file, x.line AS line, x.kind AS kind, x.context AS context, x.seq AS seq)""")
+def extract_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rust, families without patterns of their own, and the type forms of the script family."""
+    k = F.col("r_regionkey").cast("string")
+    file = lambda end, *text: F.struct(F.concat(F.lit("r"), k, F.lit(end)).alias("path"), F.concat(*text).alias("text"))
+    files = F.array(
+        file(".rs", F.lit("pub(crate) async fn run"), k, F.lit("() {}\npub struct Box"), k, F.lit(";\n  enum K { }\n")),
+        file(".kt", F.lit("private static function go"), k, F.lit("() {}\n\tabstract class C {}\n")),
+        file(".tsx", F.lit("export type T"), k, F.lit(" = string\ninterface I { }\n")),
+    )
+    return extract.symbols_of(table(spark, sf_dir, "region").select(F.explode(files).alias("x")).select("x.*"))
 
 
 # Snapshots and history
@@ -400,13 +433,13 @@ def v_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {V_HISTORY} SELECT * FROM h WHERE root = 'click' ORDER BY ts DESC LIMIT 10")
 def history_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.newest(v_history(spark, sf_dir).where("root = 'click'"), 10, "ts")
+    return ledger.newest(ledger.of_root(v_history(spark, sf_dir), "click"), 10, "ts")
 
 
 @query(f"""WITH {V_HISTORY}, l AS (SELECT * FROM h WHERE root = 'click' ORDER BY ts DESC LIMIT 10), r AS (SELECT *, row_number() OVER (ORDER BY ts DESC) AS k, count(*) OVER () AS n FROM l)
 SELECT {", ".join(f"CAST(coalesce(max({c}) FILTER (k = 1) - max({c}) FILTER (k = 2), 0) AS BIGINT) AS {c}_delta" for c in HISTORY_COUNTERS)}, max(n) AS window_count FROM r""")
 def history_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.trend(v_history(spark, sf_dir).where("root = 'click'"), HISTORY_COUNTERS, 10, "ts")
+    return ledger.trend(ledger.of_root(v_history(spark, sf_dir), "click"), HISTORY_COUNTERS, 10, "ts")
 
 
 @query(f"""WITH {V_HISTORY}, l AS (SELECT * FROM h ORDER BY ts DESC, root DESC LIMIT 200), r AS (SELECT *, sum(scanned_bytes) OVER (ORDER BY ts DESC, root DESC) AS s, row_number() OVER (ORDER BY ts DESC, root DESC) AS k FROM l)
@@ -428,6 +461,10 @@ def jsonl_corrupt_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Bytes and JSON
 
+#: Limits that end no scan of a whole table's texts, whatever the machine does beside it.
+NO_LIMIT = {"budget_ms": 1 << 31}
+WHOLE = {"max_scan_bytes": 1 << 40, "max_time_ms": 60_000}
+
 BYTES = """b AS (SELECT doc_id, text, encode(text) AS d, strlen(text) AS total FROM documents)"""
 
 
@@ -460,56 +497,200 @@ def slice_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 def slice_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows that begin at every 1000th byte moved forward join up to the whole text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
-    starts = docs.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.octet_length("data").cast("long"), F.lit(1000).cast("long"))))
-    page = starts.select("doc_id", "start", slices.window_columns(F.col("data"), F.col("start"), F.lit(1000).cast("long")).alias("w"), F.col("data"))
-    total = F.octet_length("data").cast("long")
-    end = F.when(F.col("start") + 1000 >= total, total).otherwise(slices.window_columns(F.col("data"), F.col("start") + 1000, F.lit(1).cast("long"))["byte_offset"])
-    piece = page.select("doc_id", "start", F.substring("data", (F.col("w.byte_offset") + 1).cast("int"), (end - F.col("w.byte_offset")).cast("int")).cast("string").alias("piece"))
-    pieces = piece.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "piece"))).alias("p"))  # of one text
+    pieces = slices.paged(docs, 1000).groupBy(F.col("id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("page", "piece"))).alias("p"))  # of one text
     joined = F.array_join(F.transform("p", lambda x: x["piece"]), "")
     return pieces.select("doc_id", joined.alias("joined"), F.octet_length(joined).cast("long").alias("bytes"))
 
 
+@query(_window_sql("least(1000000000, total)", 100))
+def slice_beyond(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A start beyond the end is the end."""
+    return _window(spark, sf_dir, 1_000_000_000, 100, False)
+
+
+@query(f"""WITH {BYTES}, h AS (SELECT *, CASE WHEN strpos(lower(text), 'the') > 0 THEN strlen(left(text, strpos(lower(text), 'the') - 1)) END AS hit FROM b), s AS (SELECT *, CASE WHEN hit IS NULL THEN 0 ELSE greatest(0, hit - 16) END AS asked FROM h),
+t AS (SELECT *, {_forward('asked')} AS byte_offset FROM s), u AS (SELECT *, {_forward('least(total, byte_offset + 64)')} AS stop FROM t)
+SELECT doc_id AS id, CAST(byte_offset AS BIGINT) AS byte_offset, CAST(stop - byte_offset AS BIGINT) AS length_bytes, CASE WHEN stop = byte_offset THEN '' ELSE decode(d[byte_offset + 1:stop]) END AS snippet, CASE WHEN hit IS NULL THEN 'not_found' ELSE 'matched' END AS status FROM u""")
+def slice_around(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window around a hit, with 16 bytes before it."""
+    return slices.slices_around(table(spark, sf_dir, "documents"), "THE", 16, 64, budget_ms=slices.MOST_BUDGET_MS)
+
+
+@query("""SELECT doc_id AS id, CASE WHEN strlen(text) > 700 THEN 'byte_budget' ELSE 'not_found' END AS status, strlen(text) <= 700 AS complete FROM documents""")
+def literal_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search that its bytes end."""
+    return slices.search_texts(table(spark, sf_dir, "documents"), "no such words", most=700, **NO_LIMIT).select("id", "status", "complete")
+
+
 @query("""WITH f AS (SELECT doc_id, text, strpos(lower(text), 'the') AS pos FROM documents)
 SELECT doc_id AS id, CASE WHEN pos > 0 THEN CAST(strlen(left(text, pos - 1)) AS BIGINT) END AS hit_byte, CASE WHEN pos > 0 THEN 'matched' ELSE 'not_found' END AS status, pos = 0 AS complete FROM f""")
 def literal_find(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return slices.search_texts(table(spark, sf_dir, "documents"), "ThE").select("id", "hit_byte", "status", "complete")
+    return slices.search_texts(table(spark, sf_dir, "documents"), "ThE", most=1 << 40, **NO_LIMIT).select("id", "hit_byte", "status", "complete")
 
 
 @query("""WITH f AS (SELECT doc_id, text, regexp_extract(text, '(?s)^(.*?)[0-9]{2,}', 1) AS before, regexp_matches(text, '[0-9]{2,}') AS hit FROM documents)
 SELECT doc_id AS id, CASE WHEN hit THEN CAST(strlen(before) AS BIGINT) END AS hit_byte, CASE WHEN hit THEN 'matched' ELSE 'not_found' END AS status, NOT hit AS complete FROM f""")
 def regex_find(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return slices.search_texts(table(spark, sf_dir, "documents"), "[0-9]{2,}", regex=True, budget_ms=10_000).select("id", "hit_byte", "status", "complete")
+    return slices.search_texts(table(spark, sf_dir, "documents"), "[0-9]{2,}", regex=True, most=1 << 40, **NO_LIMIT).select("id", "hit_byte", "status", "complete")
 
 
 @query("""WITH k AS (SELECT event_id AS id, props, unnest(json_keys(props)) AS key, unnest(range(len(json_keys(props)))) AS ordinal FROM events)
 SELECT id, CAST(ordinal AS INT) AS ordinal, key, 'complete' AS validation, CAST(len(json_keys(props)) AS BIGINT) AS total_keys FROM k""")
 def json_key_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return json_keys.json_keys(table(spark, sf_dir, "events"), "event_id", "props").select("id", "ordinal", "key", "validation", "total_keys")
+    return json_keys.json_keys(table(spark, sf_dir, "events"), "event_id", "props", **WHOLE).select("id", "ordinal", "key", "validation", "total_keys")
 
 
 @query("""WITH v AS (SELECT event_id AS id, props, regexp_extract(props, '^(\\{"[a-z]+": *)', 1) AS head, regexp_extract(props, '^\\{"[a-z]+": *([^,}]*)', 1) AS val FROM events)
 SELECT id, CAST(strlen(head) AS BIGINT) AS byte_start, CAST(strlen(head) + strlen(val) AS BIGINT) AS byte_end, val AS preview FROM v""")
 def json_value_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return json_keys.json_keys(table(spark, sf_dir, "events"), "event_id", "props").where("ordinal = 0").select("id", "byte_start", "byte_end", "preview")
+    return json_keys.json_keys(table(spark, sf_dir, "events"), "event_id", "props", **WHOLE).where("ordinal = 0").select("id", "byte_start", "byte_end", "preview")
 
 
 # Hashes and rules
 
 
+def per_row(rows: DataFrame, schema: str, work: Callable[[dict], tuple]) -> DataFrame:
+    """The library's plain functions over rows, a batch at a time."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            got = [work(r) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], kinds[i]) for i in range(len(names))], names)
+
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[x.split()[1]] for x in schema.split(", ")]
+    prepare(rows.sparkSession)
+    return rows.mapInArrow(run, schema)
+
+
 @query("""SELECT event_id, substr(sha1('find|root' || (user_id % 7) || '|{"kind":"' || event_type || '","limit":120,"name":"u' || user_id || '"}'), 1, 16) AS hash FROM events""")
 def args_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hash of canonical arguments: keys sorted, defaults filled in."""
-    args = F.to_json(F.struct(F.col("event_type").alias("kind"), F.lit(120).alias("limit"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("name")))
-    text = F.concat(F.lit("find|root"), (F.col("user_id") % 7).cast("string"), F.lit("|"), args)
-    return table(spark, sf_dir, "events").select("event_id", scalar.sha1_prefix(text, 16).alias("hash"))
+    """The hash of effective arguments: defaults filled in, irrelevant ones gone, keys sorted."""
+
+    def hashed(r: dict) -> tuple:
+        given = {"name": f"u{r['user_id']}", "limit": None, "trace": r["event_id"], "kind": r["event_type"]}
+        return r["event_id"], scalar.args_hash("find", f"root{r['user_id'] % 7}", scalar.effective_args(given, {"limit": 120}, {"kind", "limit", "name"}))
+
+    return per_row(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "event_id long, hash string", hashed)
 
 
 @query("""SELECT n_nationkey, sha256('{"context":240,"exts":[".' || lower(n_name) || '",".ts"],"parser":"p","scan":' || (1024 * (n_nationkey + 1)) || ',"skip":["dist"]}') AS fingerprint FROM nation""")
 def config_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    exts = F.array_sort(F.array_distinct(F.array(F.concat(F.lit("."), F.lower("n_name")), F.lit(".ts"), F.lit(".ts"))))
-    text = F.to_json(F.struct(F.lit(240).alias("context"), exts.alias("exts"), F.lit("p").alias("parser"), (F.lit(1024) * (F.col("n_nationkey") + 1)).alias("scan"), F.array(F.lit("dist")).alias("skip")))
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.sha2(text, 256).alias("fingerprint"))
+    """The fingerprint of options that are given in any order and case, with blanks and repeats."""
+    work = lambda r: (r["n_nationkey"], scalar.fingerprint("p", [".ts", f" {r['n_name'].upper()} ", "ts", ""], ["dist ", "", "dist"], 1024 * (r["n_nationkey"] + 1), 240))
+    return per_row(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey int, fingerprint string", work)
+
+
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN lang || '/' || doc_id WHEN 1 THEN source WHEN 2 THEN NULL WHEN 3 THEN 'Up/' || lang ELSE lang END AS inside, CASE doc_id % 5 WHEN 0 THEN lower(lang) || '/' || doc_id WHEN 1 THEN lower(source) WHEN 2 THEN NULL WHEN 3 THEN 'up/' || lower(lang) ELSE lower(lang) END AS boosted FROM documents""")
+def inside_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Absolute and relative paths, of either slash, with dots, relative to the root; none outside it."""
+
+    def told(r: dict) -> tuple:
+        given = [f"{r['lang']}\\{r['doc_id']}", f"/r/a/./{r['source']}", "../a2/x", f"/r/b/../a/Up/{r['lang']}", f"x/../{r['lang']}/"][r["doc_id"] % 5]
+        return r["doc_id"], scalar.inside_root("/r/a", given), next(iter(scalar.boost_paths("/r/a", [given])), None)
+
+    return per_row(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id long, inside string, boosted string", told)
+
+
+@query("""SELECT n_nationkey, substr(sha1('/r/' || n_name), 1, 12) AS hash FROM nation""")
+def root_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash of an absolute root, however it is spelt."""
+    return per_row(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey int, hash string", lambda r: (r["n_nationkey"], scalar.root_hash(f"/r/x/../{r['n_name']}/")))
+
+
+def _padded(secret: bytes, byte: int) -> str:
+    return "unhex('" + bytes(x ^ byte for x in secret.ljust(64, b"\0")).hex() + "')"
+
+
+@query(f"""SELECT event_id, sha256({_padded(b'secret', 0x5C)} || unhex(sha256({_padded(b'secret', 0x36)} || encode(props)))) AS signature FROM events""")
+def cursor_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return per_row(table(spark, sf_dir, "events").select("event_id", "props"), "event_id long, signature string", lambda r: (r["event_id"], scalar.signature(b"secret", r["props"].encode()).hex()))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 3) THEN 'refused' ELSE CAST(CASE doc_id % 4 WHEN 1 THEN 40 ELSE doc_id % 1000 + 1 END AS VARCHAR) END AS "limit" FROM documents""")
+def limits_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limits: the default, a whole number, one beyond the most, and none at all."""
+
+    def told(r: dict) -> tuple:
+        k = r["doc_id"]
+        try:
+            return k, str(scalar.positive([0, None, k % 1000 + 1, 1001 + k][k % 4], 40, "limit", 1000))
+        except ValueError:
+            return k, "refused"
+
+    return per_row(table(spark, sf_dir, "documents").select("doc_id"), "doc_id long, limit string", told)
+
+
+JSON_TEXTS = """j AS (SELECT event_id AS id, '{"a": ' || event_id || ', "who":"u' || user_id || '" ,' || chr(10) || ' "b": [1,{"x":2}], "type":"' || event_type || '"}' AS t, '{"a": ' || event_id || ', "who":"u' || user_id || '" ,' || chr(10) || ' "b": ' AS h FROM events)"""
+
+
+def _json_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = lambda c: F.col(c).cast("string")
+    text = F.concat(F.lit('{"a": '), s("event_id"), F.lit(', "who":"u'), s("user_id"), F.lit('" ,\n "b": [1,{"x":2}], "type":"'), "event_type", F.lit('"}'))
+    return table(spark, sf_dir, "events").select("event_id", text.alias("text"))
+
+
+@query(f"""WITH {JSON_TEXTS} SELECT id, CAST(x AS INT) AS ordinal, CASE x WHEN 0 THEN 'b' ELSE 'type' END AS key, CAST(CASE x WHEN 0 THEN strlen(h) ELSE strlen(h) + 20 END AS BIGINT) AS byte_start, CAST(CASE x WHEN 0 THEN strlen(h) + 11 ELSE strlen(t) - 1 END AS BIGINT) AS byte_end,
+CASE x WHEN 0 THEN '[1,{{"x…' ELSE left(substr(t, length(h) + 21, length(t) - length(h) - 21), 6) || CASE WHEN length(t) - length(h) - 21 > 6 THEN '…' ELSE '' END END AS preview, 'complete' AS validation, CAST(4 AS BIGINT) AS total_keys FROM j, (SELECT unnest([0, 1]) AS x)""")
+def json_second_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page that a cursor leads to, with previews cut short."""
+    return json_keys.json_keys(_json_texts(spark, sf_dir), "event_id", "text", page_number=1, limit=2, max_preview=6, max_time_ms=60_000)
+
+
+@query(f"""WITH {JSON_TEXTS} SELECT id, CAST(x AS INT) AS ordinal, CASE x WHEN 0 THEN 'a' ELSE 'who' END AS key, 'incomplete' AS validation, CAST(NULL AS BIGINT) AS total_keys FROM j, (SELECT unnest([0, 1]) AS x)""")
+def json_first_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page that ends before the text does tells nothing of the rest."""
+    return json_keys.json_keys(_json_texts(spark, sf_dir), "event_id", "text", page_number=0, limit=2, max_time_ms=60_000).select("id", "ordinal", "key", "validation", "total_keys")
+
+
+@query("""SELECT event_id AS id, CAST(CASE WHEN event_id % 7 IN (3, 4, 5) THEN 0 END AS INT) AS ordinal, CASE WHEN event_id % 7 IN (3, 4, 5) THEN 'a' END AS key, CASE WHEN event_id % 7 < 3 THEN 'complete' WHEN event_id % 7 = 5 THEN 'budget_exhausted' ELSE 'invalid' END AS validation FROM events""")
+def json_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roots that are no object, broken texts, and one deeper than its budget."""
+    texts = ["[1, {}]", "17", '"s"', '{"a":1}x', '{"a":1, "b":01}', '{"a":1, "b":[[[[1]]]]}', '{"a" 1}']
+    k = F.col("event_id") % 7
+    text = F.element_at(F.array(*map(F.lit, texts)), (k + 1).cast("int"))
+    return json_keys.json_keys(table(spark, sf_dir, "events").select("event_id", text.alias("text")), "event_id", "text", max_depth=4, max_time_ms=60_000).select("id", "ordinal", "key", "validation")
+
+
+EDGES_SQL = """edge_rows AS (SELECT src AS "from", CASE WHEN hash_kind = 0 THEN NULL ELSE dst END AS target, CASE WHEN hash_kind = 0 THEN 'external' ELSE 'resolved' END AS status, dst FROM (SELECT *, length(src) % 4 AS hash_kind FROM fk))"""
+
+
+def _edge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outer = F.length("src") % 4 == 0
+    return fk(spark, sf_dir).select(F.col("src").alias("from"), F.col("dst").alias("specifier"), F.when(outer, "external").otherwise("resolved").alias("status"), F.when(~outer, F.col("dst")).alias("target"), F.col("dst").alias("to"), F.lit(7).alias("line"), F.lit("ctx").alias("context"), F.lit(0).alias("seq"))
+
+
+@query(f"""WITH {FK}, {EDGES_SQL}, nodes AS (SELECT src AS file FROM fk UNION SELECT dst FROM fk UNION SELECT 'p' || p_partkey FROM part), r AS (SELECT * FROM edge_rows WHERE status = 'resolved'),
+i AS (SELECT target AS file, count(*) AS n FROM r GROUP BY 1), o AS (SELECT "from" AS file, count(*) AS n FROM r GROUP BY 1), u AS (SELECT DISTINCT "from" AS file FROM edge_rows WHERE status <> 'resolved')
+SELECT file, coalesce(i.n, 0) AS indegree, coalesce(o.n, 0) AS outdegree, u.file IS NOT NULL AS uncertain, i.n IS NULL AND o.n IS NULL AND u.file IS NULL AS is_orphan FROM (SELECT nodes.file FROM nodes) n LEFT JOIN i USING (file) LEFT JOIN o USING (file) LEFT JOIN u USING (file)""".replace("u.file IS NOT NULL", "u.k").replace("u.file IS NULL", "NOT coalesce(u.k, false)").replace("u.k AS uncertain", "coalesce(u.k, false) AS uncertain").replace('u AS (SELECT DISTINCT "from" AS file FROM', 'u AS (SELECT DISTINCT "from" AS file, true AS k FROM'))
+def graph_built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph of an index: degrees, uncertain files and orphans (ranks are in pagerank_fk)."""
+    edges = _edge_rows(spark, sf_dir)
+    files = edges.select(F.col("from").alias("path")).union(edges.select("to")).union(table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"))))
+    return graph.build_graph(files, edges)[0].drop("rank")
+
+
+@query(f"""WITH {FK} SELECT src AS file, min(src || ':7 → ' || dst || ' — ctx') AS context FROM fk GROUP BY src""")
+def edge_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The context that a file without symbols has: that of its first import."""
+    rows = _edge_rows(spark, sf_dir).withColumn("file", F.col("from"))
+    return symbols.first_context(rows, scalar.edge_text(F.col("from"), F.col("line"), F.col("to"), F.col("context")))
+
+
+@query(f"""WITH {V_SYMBOLS}, known AS (SELECT path FROM v_sizes WHERE path NOT LIKE '%1') SELECT v_symbols.* FROM v_symbols WHERE file IN (SELECT path FROM known)""")
+def symbols_of_known_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot.of_known_files(v_symbols(spark, sf_dir), v_sizes(spark, sf_dir).where("path not like '%1'"))
+
+
+@query(f"""WITH {V_FILES} SELECT path, size FROM v_files WHERE size % 13 = 0""")
+def files_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot.pending(v_files(spark, sf_dir).withColumn("pending", F.when(F.col("size") % 13 == 0, True).when(F.col("size") % 13 == 1, False)))
+
+
+@query(f"""WITH {V_HISTORY} SELECT ts, root, CASE WHEN rescanned % 5 = 0 THEN 0 ELSE CAST(greatest(0, 1000000000000 - ts) AS BIGINT) END AS stale_ms FROM h""")
+def index_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = F.when(F.col("rescanned") % 5 != 0, F.col("ts"))
+    return v_history(spark, sf_dir).select("ts", "root", snapshot.staleness(seen, F.lit(1_000_000_000_000).cast("long")).alias("stale_ms"))
 
 
 @query("""WITH bad AS (SELECT 'file' AS rule, count(*) FILTER (p_partkey % 40 = 0) AS rows FROM part UNION ALL SELECT 'symbol', count(*) FILTER (p_partkey % 50 = 0) FROM part
@@ -523,10 +704,11 @@ def row_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.violations(files, found, edges)
 
 
-@query("""SELECT count(*) AS files, count(*) FILTER (doc_id % 13 = 0) AS pending_files, CAST(sum(strlen(text)) AS BIGINT) AS bytes, count(DISTINCT source) AS roots FROM documents""")
+@query(f"""WITH {V_FILES}, {V_SYMBOLS}, {FK} SELECT (SELECT count(*) FROM v_files) AS files, (SELECT count(*) FROM v_files WHERE size % 13 = 0) AS pending_files, (SELECT count(*) FROM v_symbols) AS symbols, (SELECT count(*) FROM fk) AS imports, false AS consistent""")
 def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("doc_id") % 13 == 0).alias("pending_files"), F.sum(F.octet_length("text")).cast("long").alias("bytes"), F.countDistinct("source").alias("roots"))
+    """The counts of an index; its symbols and edges are not of its files, so it is not consistent."""
+    files = v_files(spark, sf_dir).withColumns({"pending": F.col("size") % 13 == 0, "mtime_ms": F.lit(1.0)})
+    return snapshot.status(files, v_symbols(spark, sf_dir), _edge_rows(spark, sf_dir))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
