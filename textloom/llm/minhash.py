@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialise, prepare
+from textloom.llm.common import materialise, prepare, trimmed
 from textloom.llm.components import components
 from textloom.llm.words import mix64, shingles, words_of
 
@@ -32,10 +32,15 @@ SLACK, MARGIN = 3.5, 0.02
 #: Pairs whose smaller set has up to this size are found without fail: these sets, and all that may be similar to
 #: one, travel whole with their registers and meet in the buckets of their rarest shingles.
 SMALL = 48
-#: Members of a bucket that meet in one row.
-BLOCK = 128
-#: Bits of the map of ids whose texts are to be moved. Its size is fixed; when it fills up, it lets more texts pass.
-MAP_BITS = 1 << 23
+#: Members of a bucket that meet in one row. In larger buckets, sets meet by their rarest shingles.
+BLOCK = 64
+#: Members of a block where all pairs of blocks meet, so that a member is copied to few of them: by registers, and in
+#: the comparison of whole sets as a matrix of members and shingles.
+LAST_BLOCK, EXACT_BLOCK = 512, 128
+#: A shingle is frequent if it stands in so many sets of a batch; the counts of up to so many of them are shared (8 MB).
+FREQUENT, COUNTED = 4, 1 << 19
+#: Bits of the map of ids whose texts are to be read again, for each id and at most.
+MAP_SHARE, MOST_BITS = 16, 1 << 27
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
@@ -91,6 +96,12 @@ def hopeful(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent:
     return rate >= at - SLACK * spread - MARGIN
 
 
+def fewest_equal(used: np.ndarray, percent: int) -> np.ndarray:
+    """How many equal registers a ``hopeful`` pair has at least, of which one uses ``used``."""
+    at = percent / 100
+    return np.ceil(used * np.maximum(0, at - SLACK * np.sqrt(at * (1 - at) / np.maximum(used, 1)) - MARGIN))
+
+
 def sizes_fit(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of these sizes can be similar at all."""
     return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
@@ -111,21 +122,36 @@ def _utf8(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def signatures(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, digest, regs, small): digest names the set, so copies have one digest; null for empty
-    sets. small: the whole set, if it is
-    SMALL or may be similar to one that is."""
+def _digest(shingle_set: np.ndarray) -> bytes | None:
+    """What names a set: two sums over its hashes, and its size. An empty set has none."""
+    return shingle_set.sum(dtype=np.uint64).tobytes() + mix64(shingle_set).sum(dtype=np.uint64).tobytes() + len(shingle_set).to_bytes(4, "little") if len(shingle_set) else None
+
+
+def _frequent(sets: list[np.ndarray]) -> bytes:
+    """The values that stand in FREQUENT of the sets, and in how many, as pairs of 64 bits."""
+    value, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+    often = n >= FREQUENT
+    return np.stack([value[often], n[often].astype(np.uint64)], 1).tobytes()
+
+
+def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, digest, regs, small, often) of ``docs`` (doc_id, text): copies have one digest, empty sets
+    none. small: the whole set, if it is SMALL or may be similar to one that is. often: in a batch's first row, the
+    shingles that stand in FREQUENT of its sets, and in how many."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(w, width) for w in words_of(_utf8(batch.column(1)))]
-            digest = [None if not len(s) else s.sum(dtype=np.uint64).tobytes() + mix64(s).sum(dtype=np.uint64).tobytes() + len(s).to_bytes(4, "little") for s in sets]
             regs = registers(sets)
-            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array([s.tobytes() if percent * len(s) <= 100 * SMALL else None for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "regs", "small"])
+            digests = list(map(_digest, sets))
+            often = _frequent(list({d: s for d, s in zip(digests, sets) if d}.values()))
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array([s.tobytes() if percent * len(s) <= 100 * SMALL else None for s in sets], pa.binary()), pa.array([often if i == 0 else None for i in range(len(sets))], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "regs", "small", "often"])
+
+    return docs.mapInArrow(trimmed(sign), "doc_id long, n_shingles long, digest binary, regs binary, small binary, often binary")
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, regs binary, small binary")
+
+PAIRS = "id long, other long, rate double, sure boolean"
 
 
 def _regs(column: pa.Array) -> np.ndarray:
@@ -141,7 +167,7 @@ def _with_bands(sets: DataFrame) -> DataFrame:
                 ids, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array(sizes[row], pa.int32()), pa.array(keys[row, band], pa.int64())], ["id", "size", "key"])
 
-    return sets.select("id", "size", "regs").mapInArrow(explode, "id long, size int, key long")
+    return sets.select("id", "size", "regs").mapInArrow(trimmed(explode), "id long, size int, key long")
 
 
 def _with_prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -154,97 +180,194 @@ def _with_prefixes(sets: DataFrame, percent: int) -> DataFrame:
                 ids, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes), pa.int64()), pa.array(np.repeat(sizes, sizes), pa.int32()), pa.array(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64))], ["id", "size", "key"])
 
-    rows = sets.where("small is not null").select("id", "size", "small").mapInArrow(explode, "id long, size int, key long")
+    rows = sets.where("small is not null").select("id", "size", "small").mapInArrow(trimmed(explode), "id long, size int, key long")
     met = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     own = rows.join(met, "key").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("by_n"))
     first = F.slice("by_n", 1, F.expr(f"size - cast(({percent} * size + 99) div 100 as int) + 1"))
     return own.select("id", "size", F.explode(first).alias("x")).where("x.n > 1").select("id", "size", F.col("x.key").alias("key"))
 
 
+def _frequent_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(values, counts) of the most frequent shingles, COUNTED at most, by value, from what batches told."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(told[:, 0].copy()), pa.array(told[:, 1].copy())], ["value", "n"])
+
+    counts = rows.where("often is not null").select("often").mapInArrow(tell, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
+    counts = materialise(counts, "frequent")
+    # The least count whose values are no more than COUNTED; counts are told apart by their logarithm.
+    level = F.floor(F.log2("n") * 16).alias("level")
+    least, seen = 0, 0
+    for row in counts.groupBy(level).agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("level")).collect():
+        seen += row["m"]
+        if seen > COUNTED:
+            least = row["level"] + 1
+            break
+    table = counts.where(level >= least).toArrow()
+    value, n = table["value"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    order = np.argsort(value)
+    return value[order], n[order]
+
+
+def _map_of(ids: DataFrame, n: int) -> np.ndarray:
+    """A map of ``n`` ids in bits, of bounded size: if it fills up, it lets other ids pass."""
+    bits = min(MOST_BITS, max(1 << 12, 1 << (MAP_SHARE * n).bit_length()))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = _slot(batch.column(0), bits)
+            yield pa.RecordBatch.from_arrays([pa.array(slot >> 6, pa.int64()), pa.array((np.uint64(1) << (slot & 63).astype(np.uint64)).view(np.int64), pa.int64())], ["word", "bits"])
+
+    marks = ids.mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    flags = np.zeros(bits >> 6, np.int64)
+    flags[marks["word"].to_numpy()] = marks["bits"].to_numpy()
+    return flags
+
+
+def _passes(flags: np.ndarray, ids: pa.Array) -> pa.Array:
+    slot = _slot(ids, 64 * len(flags))
+    return pa.array(flags[slot >> 6] >> (slot & 63) & 1 == 1)
+
+
+def _with_rarest(rows: DataFrame, texts: DataFrame, hot: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, size, key): of each of the sets ``hot`` (id, least, digest, size) its rarest shingles, so many that two
+    sets without one in common have less than ``percent`` of a union in common. All sets put their shingles in one
+    order: by how often batches have met them, as far as they have, and by hash."""
+    spark = texts.sparkSession
+    often, flags = spark.sparkContext.broadcast(_frequent_shingles(rows)), spark.sparkContext.broadcast(_map_of(hot.select("least"), hot.count()))
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value, n = often.value
+        for batch in batches:
+            batch = batch.filter(_passes(flags.value, batch.column(0)))
+            for s in range(0, batch.num_rows, 200):
+                sets = [x for x in (shingles(w, width) for w in words_of(_utf8(batch.column(1).slice(s, 200)))) if len(x)]
+                if not sets:
+                    continue
+                size = np.array([len(x) for x in sets])
+                flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+                place = np.minimum(np.searchsorted(value, flat), max(len(value) - 1, 0))
+                met = np.where(value[place] == flat, n[place], 0) if len(value) else np.zeros(len(flat), np.int64)
+                order = np.lexsort((flat, met, row))
+                rank = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+                first = rank < np.repeat(size - -(-percent * size // 100) + 1, size)
+                kept = order[first]
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in sets], pa.binary()).take(pa.array(row[kept])), pa.array(flat[kept].view(np.int64))], ["digest", "key"])
+
+    found = texts.mapInArrow(trimmed(explode), "digest binary, key long").distinct()
+    return found.join(hot.select("id", "size", "digest"), "digest").select("id", "size", "key")
+
+
+def _confirmed(small: list[bytes | None], other: list[bytes | None], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keep, sure) for pairs whose registers allow a link: where both sets came whole, they tell."""
+    sure = np.array([x is not None and y is not None for x, y in zip(small, other)], bool)
+    keep = ~sure
+    for i in np.flatnonzero(sure).tolist():
+        keep[i] = similar(np.frombuffer(small[i], np.uint64), np.frombuffer(other[i], np.uint64), percent)
+    return keep, sure
+
+
 def _promising(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (id, other) whose registers let the similarity be ``percent``."""
+    """Those of ``pairs`` (id, other) whose registers let the similarity be ``percent``, with the estimate; sure: the
+    sets came whole and are similar."""
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5))
-                keep = pa.array(hopeful(_regs(batch.column(2)), _regs(batch.column(3)), n, m, percent))
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["id", "other"])
-
-    own = sets.select("id", "regs", "size")
-    others = sets.select(F.col("id").alias("other"), F.col("regs").alias("regs2"), F.col("size").alias("size2"))
+                a, b = _regs(batch.column(2)), _regs(batch.column(3))
+                at = np.flatnonzero(hopeful(a, b, n, m, percent))
+                keep, sure = _confirmed(*(batch.column(k).take(pa.array(at)).to_pylist() for k in (6, 7)), percent)
+                at = at[keep]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(at)) for k in (0, 1)), pa.array(estimate(a[at], b[at])[0]), pa.array(sure[keep])], ["id", "other", "rate", "sure"])
+
+    own = sets.select("id", "regs", "size", "small")
+    others = own.toDF("other", "regs2", "size2", "small2")
     both = pairs.join(own, "id").join(others, "other")
-    return both.select("id", "other", "regs", "regs2", "size", "size2").mapInArrow(weigh, "id long, other long")
+    return both.select("id", "other", "regs", "regs2", "size", "size2", "small", "small2").mapInArrow(trimmed(weigh), PAIRS)
 
 
-def _told_apart(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` with ``linked``: true or false where both sets came whole, null where the texts must tell."""
+def _slot(ids: pa.Array, bits: int) -> np.ndarray:
+    ids = ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    return (mix64(ids) & np.uint64(bits - 1)).astype(np.int64)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) if x is not None and y is not None else None for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["id", "other", "linked"])
 
-    small = sets.where("small is not null").select("id", "small")
-    both = pairs.join(small, "id", "left").join(small.select(F.col("id").alias("other"), F.col("small").alias("small2")), "other", "left")
-    return both.select("id", "other", "small", "small2").mapInArrow(compare, "id long, other long, linked boolean")
+def _whole_sets(texts: DataFrame, wanted: DataFrame, n: int, width: int) -> DataFrame:
+    """(id, whole) for the ``n`` sets ``wanted`` (id, least, digest), from the texts whose id is a ``least``. A map of ids,
+    of bounded size, tells which texts to look at; if it fills up, it lets more pass, which their digests stop."""
+    shared = texts.sparkSession.sparkContext.broadcast(_map_of(wanted.select("least"), n))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(_passes(shared.value, batch.column(0)))
+            sets = [shingles(w, width) for w in words_of(_utf8(batch.column(1)))]
+            yield pa.RecordBatch.from_arrays([pa.array(map(_digest, sets), pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["digest", "whole"])
 
+    found = texts.mapInArrow(trimmed(keep), "digest binary, whole binary").join(wanted.select("id", "digest"), "digest")
+    return materialise(found.groupBy("id").agg(F.first("whole").alias("whole")), "whole")  # a repeated row counts once
 
-def _slot(ids: np.ndarray) -> np.ndarray:
-    return (mix64(ids.astype(np.int64).view(np.uint64)) % np.uint64(MAP_BITS)).astype(np.int64)
 
+class _Judge:
+    """Confirms pairs of sets on the full sets, and remembers which sets it has fetched."""
 
-def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``texts`` whose id is one of ``ids``, and a few more: a map of fixed size tells which, so that
-    no other text is shuffled."""
+    def __init__(self, docs: DataFrame, sets: DataFrame, width: int, percent: int):
+        self.docs, self.sets, self.width, self.percent = docs, sets, width, percent
+        self.whole: DataFrame | None = None
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = np.unique(_slot(batch.column(0).to_numpy(zero_copy_only=False)))
-            yield pa.RecordBatch.from_arrays([pa.array(slot >> 6, pa.int64()), pa.array((np.uint64(1) << (slot & 63).astype(np.uint64)).view(np.int64), pa.int64())], ["word", "bits"])
+    def fetch(self, pairs: DataFrame) -> None:
+        """The whole sets that ``pairs`` need and that aren't at hand."""
+        ids = pairs.select("id").union(pairs.select(F.col("other").alias("id"))).distinct()
+        wanted = ids.join(self.sets.select("id", "least", "digest"), "id")
+        if self.whole is not None:
+            wanted = wanted.join(self.whole.select("id"), "id", "left_anti")
+        wanted = materialise(wanted, "wanted")
+        n = wanted.count()
+        if n:
+            more = _whole_sets(self.docs, wanted, n, self.width)
+            self.whole = more if self.whole is None else self.whole.unionByName(more)
 
-    words = ids.mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    flags = np.zeros(MAP_BITS >> 6, np.int64)
-    flags[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    shared = texts.sparkSession.sparkContext.broadcast(np.unpackbits(flags.view(np.uint8), bitorder="little").astype(bool) if len(words) else None)
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (id, other, sure) that are similar; written."""
+        percent = self.percent
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if shared.value is not None:
+        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array(shared.value[_slot(batch.column(0).to_numpy(zero_copy_only=False))]))
+                whole = ([np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in (2, 3))
+                keep = pa.array([similar(x, y, percent) for x, y in zip(*whole)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["id", "other"])
 
-    return materialise(texts.where("id is not null").mapInArrow(keep, "id long, text string"), "texts")
+        sure, unsure = pairs.where("sure").select("id", "other"), pairs.where("not sure").select("id", "other")
+        self.fetch(unsure)
+        if self.whole is None:
+            return sure
+        both = unsure.join(self.whole, "id").join(self.whole.select(F.col("id").alias("other"), F.col("whole").alias("whole2")), "other")
+        return both.select("id", "other", "whole", "whole2").mapInArrow(trimmed(verify), "id long, other long").unionByName(sure)
 
+    def settle(self, pairs: DataFrame, labels: DataFrame | None, likeliest: bool = False) -> DataFrame | None:
+        """``labels`` (node, component; None: no link yet) after the links among ``pairs`` (id, other, rate, sure), or
+        among the ``likeliest`` of each id."""
+        if pairs.isEmpty():
+            return labels
+        if likeliest:
+            best = F.max_by(F.struct("other", "sure"), F.struct("rate", -F.col("other"))).alias("best")
+            pairs = materialise(pairs.groupBy("id").agg(best).select("id", "best.*"), "likeliest")
+        return _joined(labels, self.links(pairs))
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` whose full shingle sets are similar. Only texts that a pair names are moved; the set of
-    ``other`` is kept from row to row, as its rows follow each other."""
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, None
-        for batch in batches:
-            ids, others = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            sets = [shingles(w, width) for w in words_of(_utf8(batch.column(2)))]
-            good = []
-            for i, other in enumerate(others):
-                if other != last:
-                    last, kept = other, shingles(words_of([(batch.column(3)[i].as_py() or "").encode()])[0], width)
-                good.append(similar(sets[i], kept, percent))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).filter(keep), pa.array(others, pa.int64()).filter(keep)], ["id", "other"])
-
-    moved = _texts_of(texts, pairs.select("id").union(pairs.select("other")))
-    both = pairs.join(moved, "id").join(moved.select(F.col("id").alias("other"), F.col("text").alias("text2")), "other")
-    return both.select("id", "other", "text", "text2").mapInArrow(verify, "id long, other long")
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The links among ``pairs``, which the registers allow; written."""
-    told = materialise(_told_apart(pairs, sets, percent), "pairs")
-    sure, unsure = told.where("linked").select("id", "other"), told.where("linked is null").select("id", "other")
-    if unsure.isEmpty():
-        return sure
-    return materialise(_verified(unsure, texts, width, percent).unionByName(sure), "verified")
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``labels`` after ``links`` (id, other) as well."""
+    known = None if labels is None else labels.select(F.col("node").alias("id"), F.col("component").alias("other"))
+    return components(links if known is None else known.unionByName(links), "id", "other")
+
+
+def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Those of ``pairs`` whose sets are of two components."""
+    if labels is None:
+        return pairs
+    named = pairs.join(labels.select(F.col("node").alias("id"), F.col("component").alias("a")), "id", "left").join(labels.select(F.col("node").alias("other"), F.col("component").alias("b")), "other", "left")
+    return named.where(F.coalesce("a", "id") != F.coalesce("b", "other")).select(*pairs.columns)
 
 
 def _crowded(members: DataFrame) -> DataFrame:
@@ -253,24 +376,43 @@ def _crowded(members: DataFrame) -> DataFrame:
     return materialise(members.join(crowded, "key"), "members")
 
 
-def _mixed(members: DataFrame, labels: DataFrame, sets: DataFrame, content: str = "regs") -> DataFrame:
+def _stars(members: DataFrame, percent: int) -> DataFrame:
+    """(id, other): each member of a bucket and the bucket's most central one, whose buckets are the fullest."""
+    central = members.groupBy("id").agg(F.sum("n").alias("shared"))
+    leaders = members.join(central, "id").groupBy("key").agg(F.max_by(F.struct("id", "size"), F.struct("shared", -F.col("id"))).alias("leader"))
+    stars = members.join(leaders, "key").where(F.col("id") != F.col("leader.id")).where(100 * F.least("size", F.col("leader.size")) >= percent * F.greatest("size", F.col("leader.size")))
+    return stars.select(F.greatest("id", F.col("leader.id")).alias("id"), F.least("id", F.col("leader.id")).alias("other")).distinct()
+
+
+def _chance_stars(mixed: DataFrame, percent: int) -> DataFrame:
+    """(id, other): each member of a mixed bucket and one that the bucket's key draws, of another component. A set
+    meets as many of them as it has buckets, so a group of near copies that have no centre becomes one component."""
+    drawn = mixed.groupBy("key").agg(F.max_by(F.struct("id", "size", "component"), F.xxhash64("key", "id")).alias("leader"))
+    stars = mixed.join(drawn, "key").where(F.col("component") != F.col("leader.component")).where(100 * F.least("size", F.col("leader.size")) >= percent * F.greatest("size", F.col("leader.size")))
+    return stars.select("id", F.col("leader.id").alias("other")).distinct()
+
+
+def _mixed(members: DataFrame, labels: DataFrame | None, sets: DataFrame, *content: str) -> DataFrame:
     """(key, n, id, size, component, ``content``) of the buckets whose members are not yet of one component."""
-    told = members.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "n", "id", "size", F.coalesce("component", "id").alias("component"))
+    told = members.select("key", "n", "id", "size", F.col("id").alias("component"))
+    if labels is not None:
+        told = members.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "n", "id", "size", F.coalesce("component", "id").alias("component"))
     mixed = told.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("key")
-    return materialise(told.join(mixed, "key"), "mixed").join(sets.select("id", content), "id")
+    told = told.join(mixed, "key")
+    return told.join(sets.select("id", *content), "id") if content else told
 
 
-def _blocks(mixed: DataFrame, all_pairs: bool, content: str = "regs") -> DataFrame:
-    """(key, i, j, rows): buckets cut into blocks by id hash. With ``all_pairs`` each two blocks meet in a row;
-    without, a block is by itself."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+def _blocks(mixed: DataFrame, all_pairs: bool, block: int, *content: str) -> DataFrame:
+    """(key, i, j, rows, n): buckets of more than ``block`` members are cut into blocks by id hash. With ``all_pairs`` each
+    two blocks meet in a row; without, a block is by itself."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
     rest = mixed.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks).cast("int")})
+    one = rest.withColumns({"i": F.col("own"), "j": F.col("own")})
     if all_pairs:
-        rest = rest.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rest = rest.withColumns({"i": F.least("own", "peer"), "j": F.greatest("own", "peer")})
-    else:
-        rest = rest.withColumns({"i": F.col("own"), "j": F.col("own")})
-    return rest.groupBy("key", "i", "j").agg(F.collect_list(F.struct("own", "id", "component", "size", content)).alias("rows")).where(F.size("rows") > 1)
+        several = rest.where("blocks > 1").withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        several = several.withColumns({"i": F.least("own", "peer"), "j": F.greatest("own", "peer")})
+        one = one.where("blocks = 1").unionByName(several.drop("peer"))
+    return one.groupBy("key", "i", "j").agg(F.first("n").alias("n"), F.collect_list(F.struct("own", "id", "component", "size", *content)).alias("rows")).where(F.size("rows") > 1).select("key", "i", "j", "rows", "n")
 
 
 def _exact_links(mixed: DataFrame, percent: int) -> DataFrame:
@@ -298,17 +440,18 @@ def _exact_links(mixed: DataFrame, percent: int) -> DataFrame:
                 x, y = np.concatenate(found, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y), pa.int64()), pa.array(np.minimum(x, y), pa.int64())], ["id", "other"])
 
-    return _blocks(mixed, True, "small").mapInArrow(compare, "id long, other long")
+    return _blocks(mixed, True, EXACT_BLOCK, "small").mapInArrow(trimmed(compare), "id long, other long")
 
 
 def _pairs_in_blocks(mixed: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
-    """Pairs of a bucket's members that no link joins yet and whose sizes and registers allow one; each pair is
-    told where its first common band is. Without ``all_pairs`` each member names only its likeliest partner."""
+    """(id, other, rate): pairs of a bucket's members that no link joins yet and whose sizes and registers allow one.
+    Without ``all_pairs``, the blocks of a bucket of several are by themselves, and each member names only its
+    likeliest partner there."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[np.ndarray] = []
-            for key, i, j, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            found, told, sures = [], [], []
+            for i, j, rows, n in zip(*(batch.column(k).to_pylist() for k in (1, 2)), batch.column(3), batch.column(4).to_pylist()):
                 flat = rows.values
                 own, ids, comp, size = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
                 a, b = np.triu_indices(len(ids), 1)
@@ -319,70 +462,79 @@ def _pairs_in_blocks(mixed: DataFrame, percent: int, all_pairs: bool) -> DataFra
                 if not len(a):
                     continue
                 regs = _regs(flat.field(4))
-                keys = band_keys(regs)
+                used = (regs != EMPTY).sum(1)
                 cell, rates = [], []
                 for s in range(0, len(a), 16384):
                     x, y = a[s : s + 16384], b[s : s + 16384]
-                    common = (keys[x] == keys[y]) & (keys[x] != 0)
-                    own_band = keys[x, common.argmax(1)] == key  # told in the first common band alone
-                    x, y = x[own_band], y[own_band]
-                    if len(x):
-                        good = hopeful(regs[x], regs[y], size[x], size[y], percent)
-                        cell.append(np.stack([x[good], y[good]]))
-                        rates.append(estimate(regs[x[good]], regs[y[good]])[0])
-                if cell:
-                    pair, rate = np.concatenate(cell, axis=1), np.concatenate(rates)
-                    if not all_pairs and len(rate):
-                        pair = pair[:, np.argsort(-rate, kind="stable")]
-                        best = [np.unique(pair[k], return_index=True)[1] for k in (0, 1)]
-                        pair = pair[:, np.unique(np.concatenate(best))]
-                    found.append(ids[pair])
+                    # Of registers that are hopeful as a whole, the first half has so many equal ones.
+                    need = fewest_equal(np.maximum(used[x], used[y]), percent) - REGISTERS // 2
+                    half = (regs[x, : REGISTERS // 2] == regs[y, : REGISTERS // 2]).sum(1) >= need
+                    x, y = x[half], y[half]
+                    good = hopeful(regs[x], regs[y], size[x], size[y], percent)
+                    cell.append(np.stack([x[good], y[good]]))
+                    rates.append(estimate(regs[x[good]], regs[y[good]])[0])
+                pair, rate = np.concatenate(cell, axis=1), np.concatenate(rates)
+                if not all_pairs and n > BLOCK and len(rate):
+                    order = np.argsort(-rate, kind="stable")
+                    pair, rate = pair[:, order], rate[order]
+                    first = np.unique(np.concatenate([np.unique(pair[k], return_index=True)[1] for k in (0, 1)]))
+                    pair, rate = pair[:, first], rate[first]
+                keep, sure = _confirmed(*(flat.field(5).take(pa.array(pair[k])).to_pylist() for k in (0, 1)), percent)
+                found.append(ids[pair[:, keep]])
+                told.append(rate[keep])
+                sures.append(sure[keep])
             if found:
                 x, y = np.concatenate(found, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y), pa.int64()), pa.array(np.minimum(x, y), pa.int64())], ["id", "other"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y), pa.int64()), pa.array(np.minimum(x, y), pa.int64()), pa.array(np.concatenate(told)), pa.array(np.concatenate(sures))], ["id", "other", "rate", "sure"])
 
-    return _blocks(mixed, all_pairs).mapInArrow(compare, "id long, other long")
+    return _blocks(mixed, all_pairs, LAST_BLOCK if all_pairs else BLOCK, "regs", "small").mapInArrow(trimmed(compare), PAIRS).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of ``docs``: doc_id, n_shingles, component_id, kept.
 
-    Words are runs of other characters than blanks, A-Z as a-z; documents whose sets of ``width``-word shingles
-    have 100 * intersection >= ``percent`` * union are linked; component_id is the least id reachable. A null or
-    empty text has no shingle and no link. Rows with equal sets are one class, whose least id stands for them, so
-    copies cost nothing. A row with a null id is told its class's component and never kept; if its class has no
-    id at all, it links with nothing and its component is null. An empty table gives no rows; other columns are
-    not read.
-
-    Documents meet in the buckets of their bands. First all of a bucket meet its most central member, the one
-    whose bands are shared most: in a group of near copies that is what they were copied from. Then, where a
-    bucket's members are still of several components, each meets its likeliest partner of a block, and last all
-    pairs that no link joins yet meet. So every pair that shares a band and may be similar is verified or joined
-    by other links, and a large group is joined long before its pairs are counted out. Pairs with a SMALL set don't
-    rest on bands: what no link joins yet meets in the buckets of its rarest shingles and is compared in full.
+    Words are runs of other characters than blanks, A-Z as a-z; rows whose sets of ``width``-word shingles have
+    100 * intersection >= ``percent`` * union are linked, whatever their ids; component_id is the least id
+    reachable. A null or empty text has no shingle and no link. Rows with equal sets are one class, so copies cost
+    nothing. Rows that share an id are rows of their own. A row with a null id has links as any other and is never
+    kept; a component without any id is told as null. An empty table gives no rows; other columns are not read.
+
+    Sets meet in the buckets of their bands. First all of a bucket meet its most central member, the one whose
+    bands are shared most: in a group of near copies that is what they were copied from. Then, where a bucket's
+    members are still of several components, all pairs of a bucket of up to BLOCK members meet, and in larger
+    buckets each member meets its likeliest partner of a block. The sets of larger buckets that are still mixed meet
+    anew in the buckets of their rarest registers, where a passage that many texts share does not bring them together:
+    first one that the bucket draws, then all pairs of those that are still of several components. A pair whose registers are hopeful shares one of its rarest registers for sure, so
+    a pair that shares a band is verified, joined by other links, or not similar as far as its registers tell.
+    Pairs with a SMALL set don't rest on bands: what no link joins yet meets in the buckets of its rarest shingles
+    and is compared in full.
     """
     prepare(docs.sparkSession)
-    rows = materialise(signatures(docs, width, percent, id_col, text_col), "signatures")
-    sets = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").cast("int").alias("size"), F.first("regs").alias("regs"), F.first("small").alias("small"))
-    sets = materialise(sets.where("id is not null"), "sets")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = materialise(signatures(texts, width, percent), "signatures")
+    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n_shingles").cast("int").alias("size"), F.first("regs").alias("regs"), F.first("small").alias("small"))
+    sets = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "sets")  # numbers of their own, settled by the writing
+    judge = _Judge(texts, sets, width, percent)
     members = _crowded(_with_bands(sets))
-    central = members.groupBy("id").agg(F.sum("n").alias("shared"))
-    leaders = members.join(central, "id").groupBy("key").agg(F.max_by(F.struct("id", "size"), F.struct("shared", -F.col("id"))).alias("leader"))
-    stars = members.join(leaders, "key").where(F.col("id") != F.col("leader.id")).where(100 * F.least("size", F.col("leader.size")) >= percent * F.greatest("size", F.col("leader.size")))
-    stars = stars.select(F.greatest("id", F.col("leader.id")).alias("id"), F.least("id", F.col("leader.id")).alias("other")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    links = _linked(materialise(_promising(stars, sets, percent), "likely"), sets, texts, width, percent)
-    labels = components(links, "id", "other")
-    for all_pairs in (False, True):
-        more = materialise(_pairs_in_blocks(_mixed(members.where("n > 2"), labels, sets), percent, all_pairs), "likely")
-        if more.isEmpty():
-            continue  # blocks of a bucket meet in the second pass alone
-        links = labels.select(F.col("node").alias("id"), F.col("component").alias("other")).unionByName(_linked(more, sets, texts, width, percent))
-        labels = components(links, "id", "other")
+    stars = materialise(_promising(_stars(members, percent), sets, percent), "likely")
+    labels = judge.settle(stars, None, likeliest=True)
+    mixed = _mixed(members.where("n > 2"), labels, sets, "regs", "small")
+    more = _pairs_in_blocks(mixed, percent, False).unionByName(_apart(stars, labels).select("id", "other", "rate", "sure"))
+    labels = judge.settle(materialise(more, "likely"), labels)
+    hot = materialise(_mixed(members.where(f"n > {BLOCK}"), labels, sets).select("id").distinct(), "hot")
+    if not hot.isEmpty():
+        named = materialise(sets.join(hot, "id").select("id", "least", "digest", "size"), "hot")
+        rare = _crowded(_with_rarest(rows, texts, named, width, percent))
+        labels = judge.settle(materialise(_promising(_chance_stars(_mixed(rare, labels, sets), percent), sets, percent), "likely"), labels, likeliest=True)
+        labels = judge.settle(materialise(_pairs_in_blocks(_mixed(rare, labels, sets, "regs", "small"), percent, True), "likely"), labels)
     exact = materialise(_exact_links(_mixed(_crowded(_with_prefixes(sets, percent)), labels, sets, "small"), percent), "exact")
     if not exact.isEmpty():
-        labels = components(labels.select(F.col("node").alias("id"), F.col("component").alias("other")).unionByName(exact), "id", "other")
-    classes = sets.select("digest", "id").join(labels, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component"))
-    told = rows.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+        labels = _joined(labels, exact)
+    named = sets.select("digest", "id", "least").withColumn("component", F.col("id"))
+    if labels is not None:
+        named = sets.select("digest", "id", "least").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = materialise(named, "named")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    told = rows.select("doc_id", "n_shingles", "digest").join(named.join(least, "component").select("digest", "component_id"), "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return told.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
