@@ -7,6 +7,7 @@ training these are out-of-fold, so that a model meets them as uncertain as they
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,13 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import hash32, materialise, prepare
+from textloom.llm.common import hash32, materialise, prepare, trimmed
 
 #: The chain, in order.
 NAMES = ("unfit", "toxic", "severe")
 REJECTED = "toxic"
 #: Labelled texts that the chain is fitted on, at most: those with the least hashes of their ids.
 SAMPLE = 5000
+#: Bytes of the texts of that sample, at most.
+SAMPLE_BYTES = 64 << 20
 #: Features kept for a category, and labelled texts that must have one.
 KEPT, LEAST_TEXTS = 350, 4
 #: Lengths of the word beginnings that are features beside the word itself.
@@ -33,7 +36,8 @@ BEGINNINGS = (4, 5, 6, 7, 8)
 CHOICE_CAP = 3
 FOLDS, STEPS, L2 = 4, 150, 0.3
 DENSE = 7
-REMEMBERED = 400_000
+#: Words that a worker remembers the features of, some 10 MB.
+REMEMBERED = 60_000
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -130,20 +134,23 @@ class Chain:
         return out
 
 
-def fit_chain(chosen: list[str], x: np.ndarray, labels: dict[str, np.ndarray], fold: np.ndarray) -> tuple[Chain, np.ndarray]:
-    """The chain, and its out-of-fold probabilities. The threshold is where these reject most of the toxic texts
-    for the fewest clean ones (the F of precision weighed twice)."""
+def fit_chain(chosen: list[str], x: np.ndarray, labels: dict[str, np.ndarray], fold: np.ndarray, columns: np.ndarray, of_fold: list[np.ndarray]) -> tuple[Chain, np.ndarray]:
+    """The chain, and its out-of-fold probabilities. ``columns``: those of ``x`` that the chain uses, which are
+    ``chosen`` and the dense ones; ``of_fold``: those that were chosen without the labels of each fold. The threshold
+    is where the out-of-fold probabilities reject most of the toxic texts for the fewest clean ones (the F of
+    precision weighed twice)."""
     earlier = np.zeros((len(x), 0))
     weights = []
     for name in NAMES:
-        full, y = np.concatenate([x, earlier.astype(np.float32)], axis=1), labels[name].astype(float)
+        y = labels[name].astype(float)
         held = np.zeros(len(x))
-        for k in range(FOLDS):
+        for k, own_columns in enumerate(of_fold):
             own = fold == k
             if own.any():
+                full = np.concatenate([x[:, own_columns], earlier.astype(np.float32)], axis=1)
                 w = fit_linear(full[~own], y[~own]) if (~own).any() else np.zeros(full.shape[1] + 1)
                 held[own] = sigmoid(full[own] @ w[:-1].astype(np.float32) + w[-1])
-        weights.append(fit_linear(full, y))
+        weights.append(fit_linear(np.concatenate([x[:, columns], earlier.astype(np.float32)], axis=1), y))
         earlier = np.column_stack([earlier, held])
     at = NAMES.index(REJECTED)
     order = np.argsort(-earlier[:, at], kind="stable")
@@ -156,68 +163,91 @@ def fit_chain(chosen: list[str], x: np.ndarray, labels: dict[str, np.ndarray], f
     return Chain(chosen, weights, max(threshold, 0.3)), earlier
 
 
-def choose(texts: list[str | None], labels: dict[str, np.ndarray]) -> list[str]:
-    """For each category but the last the KEPT features that tell it best, by log-likelihood ratio of capped counts."""
-    seen: dict[str, np.ndarray] = {}
-    groups = np.column_stack([labels["unfit"], labels["toxic"]]).astype(int)
-    size = np.zeros((2, 2))  # by category and value: counts of all features
-    for text, group in zip(texts, groups.tolist()):
-        counts: Counter = Counter()
-        for word, k in Counter(w.lower() for w in tokens(text)).items():
-            for f in features(word):
-                counts[f] += k
-        for f, k in counts.items():
-            row = seen.get(f)
-            if row is None:
-                row = seen[f] = np.zeros(5, np.int32)  # texts; capped counts of unfit 0, 1, toxic 0, 1
-            k = min(k, CHOICE_CAP)
-            row[0] += 1
-            row[1 + group[0]] += k
-            row[3 + group[1]] += k
-            size[0, group[0]] += k
-            size[1, group[1]] += k
-    names = [f for f, r in seen.items() if r[0] >= LEAST_TEXTS]
-    if not names:
-        return []
-    table = np.array([seen[f] for f in names], float)
-    out: dict[str, None] = {}
-    for c in range(2):
-        low, high = table[:, 1 + 2 * c], table[:, 2 + 2 * c]
-        share = size[c] / max(1.0, size[c].sum())
-        total = low + high
-        gain = high * np.log(np.maximum(high, 1e-9) / np.maximum(total * share[1], 1e-9)) + low * np.log(np.maximum(low, 1e-9) / np.maximum(total * share[0], 1e-9))
-        gain[high <= total * share[1]] *= 0.25  # what speaks for a category says more than what speaks against it
-        for i in sorted(range(len(names)), key=lambda i: (-gain[i], names[i]))[:KEPT]:
-            out[names[i]] = None
-    return list(out)
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> pd.DataFrame:
-    """Up to ``sample`` labelled texts with their labels, by id; labels that are null or no 0 or 1 are left out."""
+class FeatureTable:
+    """How often each text of the sample has each feature, capped, as triples (text, feature, count)."""
+
+    def __init__(self, texts: list[str | None]):
+        self.number: dict[str, int] = {}
+        known: dict[str, list[int]] = {}
+        text_of, feature, count = array("i"), array("i"), array("b")
+        for i, text in enumerate(texts):
+            sums: dict[int, int] = {}
+            for word, k in Counter(w.lower() for w in tokens(text)).items():
+                if word not in known:
+                    known[word] = [self.number.setdefault(f, len(self.number)) for f in features(word)]
+                for f in known[word]:
+                    sums[f] = sums.get(f, 0) + k
+            text_of.extend([i] * len(sums))
+            feature.extend(sums)
+            count.extend(min(k, CHOICE_CAP) for k in sums.values())
+        self.text, self.feature, self.count = (np.array(x) for x in (text_of, feature, count))
+
+    def choose(self, labels: dict[str, np.ndarray], use: np.ndarray) -> list[str]:
+        """For each category but the last the KEPT features that tell it best in the texts to ``use``, by the
+        log-likelihood ratio of capped counts."""
+        inside = use[self.text]
+        text, feature, count = self.text[inside], self.feature[inside], self.count[inside]
+        often = np.bincount(feature, minlength=len(self.number)) >= LEAST_TEXTS
+        names = np.array(list(self.number), object)
+        out: dict[str, None] = {}
+        for category in NAMES[:2]:
+            has = labels[category][text]
+            high, low = (np.bincount(feature[x], count[x], len(self.number)) for x in (has, ~has))
+            share = high.sum() / max(1.0, high.sum() + low.sum())
+            high, low = high[often], low[often]
+            total = high + low
+            gain = high * np.log(np.maximum(high, 1e-9) / np.maximum(total * share, 1e-9)) + low * np.log(np.maximum(low, 1e-9) / np.maximum(total * (1 - share), 1e-9))
+            gain[high <= total * share] *= 0.25  # what speaks for a category says more than what speaks against it
+            own = names[often]
+            for i in sorted(np.argsort(-gain, kind="stable")[: 4 * KEPT].tolist(), key=lambda i: (-gain[i], own[i]))[:KEPT]:
+                out[own[i]] = None
+        return list(out)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int, sample_bytes: int = SAMPLE_BYTES) -> pd.DataFrame:
+    """Up to ``sample`` labelled texts with their labels, by id, of ``sample_bytes`` in all; labels that are null or
+    no 0 or 1 are left out. Of an id's texts the least serves, chosen before anything is sent to the driver."""
     own = labels.select(F.col("doc_id").cast("long").alias("id"), "quality", "toxic").where("id is not null and quality in (0, 1) and toxic in (0, 1)")
     own = own.groupBy("id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     picked = materialise(own.orderBy(hash32(F.col("id")), "id").limit(sample), "labels")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     found = texts.join(F.broadcast(picked), "id")  # bounded by ``sample``
-    return found.toPandas().sort_values(["id", "text"]).drop_duplicates("id").reset_index(drop=True)
+    found = materialise(found.groupBy("id", "quality", "toxic").agg(F.min("text").alias("text")), "labelled")
+    size = found.select("id", hash32(F.col("id")).alias("place"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).toArrow().to_pandas().sort_values(["place", "id"])
+    # Longer texts than the rest have room for are passed over, the sample's other texts stay.
+    kept, room = [], sample_bytes
+    for doc, n in zip(size["id"].tolist(), size["n"].tolist()):
+        if n <= room:
+            kept.append(doc)
+            room -= n
+    if len(kept) < len(size):
+        found = found.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in kept], "id long")), "id")
+    return found.toArrow().to_pandas().sort_values("id").reset_index(drop=True)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[Chain, np.ndarray, pd.DataFrame]:
     """The chain fitted on at most ``sample`` labelled texts, its out-of-fold probabilities, and the sample.
 
-    Without any labelled text, or without a toxic one, the chain rejects nothing.
+    Out-of-fold means the features, too: they are chosen without the fold's labels. Without any labelled text, or
+    without a toxic one, the chain rejects nothing.
     """
     prepare(docs.sparkSession)
     frame = labelled_sample(docs, labels, id_col, text_col, sample)
-    texts = frame["text"].tolist()
+    texts = [None if t != t else t for t in frame["text"].tolist()]
     kinds = categories(frame["quality"].to_numpy(), frame["toxic"].to_numpy())
-    chosen = choose(texts, kinds)
     if not len(frame):
         n = DENSE
         return Chain([], [np.append(np.zeros(n + k), -40.0) for k in range(len(NAMES))], 2.0), np.zeros((0, len(NAMES))), frame
-    x = Vectoriser(chosen).matrix(texts)
     fold = np.random.default_rng(11).permutation(len(frame)) % FOLDS
-    chain, held = fit_chain(chosen, x, kinds, fold)
+    table = FeatureTable(texts)
+    chosen = table.choose(kinds, np.ones(len(frame), bool))
+    by_fold = [table.choose(kinds, fold != k) for k in range(FOLDS)]
+    del table
+    every = list(dict.fromkeys(f for names in (chosen, *by_fold) for f in names))
+    x = Vectoriser(every).matrix(texts)
+    place, rest = {f: i for i, f in enumerate(every)}, list(range(len(every), len(every) + DENSE))
+    columns = [np.array([place[f] for f in names] + rest) for names in (chosen, *by_fold)]
+    chain, held = fit_chain(chosen, x, kinds, fold, columns[0], columns[1:])
     return chain, held, frame
 
 
@@ -246,7 +276,7 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], *added])
 
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(n, T.DoubleType()) for n in added[:-1]] + [T.StructField(flag, T.BooleanType())])
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("string").alias("__text")).mapInArrow(judge, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("string").alias("__text")).mapInArrow(trimmed(judge), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
