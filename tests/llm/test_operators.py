@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,13 +42,25 @@ def ids_of(library, text):
     return library.encode(text or "", add_special_tokens=False).ids
 
 
-def test_segments_encode_as_whole_texts_do(library):
+def test_segments_encode_as_whole_texts_do(library, monkeypatch):
     rng = np.random.default_rng(3)
     parts = [" ", "  ", "\n", " \n", "\n ", "a", "Bc", "'s", "'", "12", "é", "。", "日本", "\x1c", "\x85", "<|endoftext|>", "!", "..", "\t", "😀", "²", "क्", ",", "word,", " ?"]
-    encode = encoding.encoder(encoding.vocabulary()).encode
-    for _ in range(4000):
-        text = "".join(rng.choice(parts) for _ in range(rng.integers(0, 12)))
-        assert np.frombuffer(encode(text), "<u4").tolist() == ids_of(library, text), text
+    texts = ["".join(rng.choice(parts) for _ in range(rng.integers(0, 12))) for _ in range(4000)]
+    texts += [" ".join(f"w{j}" * 3 for j in range(400)), "x" * 5000, "y " * 3000 + "z", "\U0001fae8 new"]
+    for most in (encoding.PART, 200):  # long texts, a part at a time
+        monkeypatch.setattr(encoding, "PART", most)
+        ids, counts = encoding.TextEncoder(encoding.vocabulary()).encode_batch(pa.array([*texts, None]))
+        assert np.split(ids, np.cumsum(counts))[-1].size == 0 and counts[-1] == 0
+        for text, own in zip(texts, np.split(ids, np.cumsum(counts))):
+            assert own.tolist() == ids_of(library, text), text
+
+
+def test_what_an_encoder_remembers_is_bounded(library, monkeypatch):
+    monkeypatch.setattr(encoding, "REMEMBERED", 50)
+    encode = encoding.TextEncoder(encoding.vocabulary())
+    for k in range(5):
+        text = " ".join(f"w{i % 90}" for i in range(40 * k, 40 * k + 120))
+        assert encode.encode(text).tolist() == ids_of(library, text) and len(encode.words) <= 50
 
 
 def test_token_counts(odd, none, library):
@@ -164,6 +177,32 @@ def test_minhash(spark, odd, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_minhash_on_repeated_ids(spark):
+    """Rows are told apart by their texts: an id's other text inherits nothing. A row without an id links others."""
+    text = lambda mark, n, more="": " ".join(f"{mark}{i}" for i in range(n)) + more
+    rows = [(1, text("a", 300)), (2, text("a", 300, " x")), (2, text("b", 300)), (2, text("b", 300)), (3, text("b", 300, " y")), (None, text("c", 300)), (9, text("c", 290)), (8, text("c", 310)), (None, text("d", 50)), (None, text("d", 50, " z"))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    told = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["kept"]) for r in got)
+    assert told == [(0, 47, 0, False), (0, 48, 0, False), (0, 297, 8, False), (1, 297, 1, True), (2, 297, 2, True), (2, 297, 2, True), (2, 298, 1, False), (3, 298, 2, False), (8, 307, 8, True), (9, 287, 8, False)]
+
+
+def test_minhash_in_crowded_buckets(spark, monkeypatch):
+    """Half of each text is one passage, so all bands of it are crowded; near copies are found among them, and no
+    pair of blocks is needed for the others."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng = np.random.default_rng(7)
+    passage = " ".join(f"p{i}" for i in range(160))
+    texts = [passage + " " + " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 100)) for _ in range(300)]
+    copies = [t.rsplit(" ", 12)[0] + " " + " ".join(f"n{x}" for x in rng.integers(0, 1 << 40, 12)) for t in texts[:60]]
+    rows = list(enumerate(texts + copies))
+    met = []
+    own = minhash._blocks
+    monkeypatch.setattr(minhash, "_blocks", lambda mixed, all_pairs, *a: met.append((all_pairs, mixed.count())) or own(mixed, all_pairs, *a))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()}
+    assert got == brute_components(word_sets(rows, 4))
+    assert sum(n for all_pairs, n in met if all_pairs) < 20 * len(rows)
+
+
 def test_bands_use_every_register():
     assert set(minhash.MEMBERS.ravel()) == set(range(minhash.REGISTERS))
     assert all(len(set(x)) == minhash.BAND for x in minhash.MEMBERS.tolist())
@@ -185,25 +224,29 @@ def test_one_common_band_is_enough(spark):
     b[np.setdiff1d(minhash.MEMBERS[1:, 0], minhash.MEMBERS[0])] ^= 1
     keys = minhash.band_keys(np.stack([a, b]))
     key, common = int(keys[0, 0]), (keys[0] == keys[1]).sum()
-    rows = [(key, 3, i, 400, i, bytearray(x.tobytes())) for i, x in ((1, a), (2, b))]
-    mixed = spark.createDataFrame(rows, "key long, n int, id long, size int, component long, regs binary")
-    assert common == 1 and [tuple(r) for r in minhash._pairs_in_blocks(mixed, 80, True).collect()] == [(2, 1)]
+    rows = [(key, 3, i, 400, i, bytearray(x.tobytes()), None) for i, x in ((1, a), (2, b))]
+    mixed = spark.createDataFrame(rows, "key long, n int, id long, size int, component long, regs binary, small binary")
+    assert common == 1 and [tuple(r)[:2] for r in minhash._pairs_in_blocks(mixed, 80, True).collect()] == [(2, 1)]
 
 
-def test_blocks_meet_after_an_empty_pass(spark, monkeypatch):
-    """A bucket of 130, in two blocks, whose only similar pair falls in both: no star and no first pass tells it."""
-    rng = np.random.default_rng(8)
-    hashes = spark.range(2, 131).select("id", F.pmod(F.xxhash64("id"), F.lit(2)).alias("own")).collect()
-    one, other = (next(r["id"] for r in hashes if r["own"] == k) for k in (0, 1))
-    texts = {i: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 300)) for i in range(1, 131)}
-    texts[other] = texts[one] + " more"
-    # The bucket is the first band that the pair has in common.
-    sets = minhash.registers([words.shingles(w, minhash.WIDTH) for w in words.words_of([texts[one].encode(), texts[other].encode()])])
-    keys = minhash.band_keys(sets)
-    key = int(keys[0, (keys[0] == keys[1]).argmax()])
-    monkeypatch.setattr(minhash, "_with_bands", lambda sets: sets.select("id", "size", F.lit(key).cast("long").alias("key")))
-    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
-    assert got == {i: min(one, other) if i in (one, other) else i for i in texts}
+def test_similar_pairs_share_a_rare_shingle(spark):
+    """Whatever the counts: two texts at similarity 0.8 or more have one of their rarest shingles in common, and texts
+    that share but a passage meet nowhere."""
+    rng = np.random.default_rng(3)
+    passage = [f"p{i}" for i in range(100)]
+    texts = [passage + [f"w{x}" for x in rng.integers(0, 1 << 40, 60)] for _ in range(60)]
+    texts += [t[:-6] + [f"n{x}" for x in rng.integers(0, 1 << 40, 6)] for t in texts[:20]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    rows = minhash.materialise(minhash.signatures(docs, 4, 80), "test")
+    hot = rows.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("least"), "digest", F.col("n_shingles").cast("int").alias("size"))
+    keys: dict[int, set] = {}
+    for r in minhash._with_rarest(rows, docs, hot, 4, 80).collect():
+        keys.setdefault(r["id"], set()).add(r["key"])
+    sets = word_sets(list(docs.toLocalIterator()), 4)
+    for i in range(80):
+        for j in range(i):
+            near = 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+            assert bool(keys[i] & keys[j]) == near, (i, j)
 
 
 def test_registers_estimate():
@@ -236,6 +279,17 @@ def test_toxicity(spark, none):
     got = {r["doc_id"]: r for r in toxicity.toxicity(docs, marks).collect()}
     wrong = sum(got[i]["rejected"] != (i % 6 == 0) for i in range(1, 900, 2))  # those without a label
     assert wrong <= 4 and all(0 <= r["p_severe"] <= 1 for r in got.values())
+    # Repeated ids and very long texts: of an id's texts the least is fitted on, within the sample's bytes.
+    twice = spark.createDataFrame([(0, "vile " * 40_000), (0, "nasty"), (0, "nasty"), (2, None), (4, "b " * 40_000)], "doc_id long, text string")
+    frame = toxicity.labelled_sample(twice, marks, "doc_id", "text", 10_000, 1000)
+    assert [(i, t) for i, t in zip(frame["id"], frame["text"])][0] == (0, "nasty") and frame["id"].tolist() == [0, 2]
+    told = toxicity.score(twice, toxicity.fit(docs, marks)[0]).collect()
+    assert len(told) == 5 and [r["rejected"] for r in told if r["text"] and r["text"].startswith("vile")] == [True]
+    # Features of a fold are chosen without its labels: with labels by chance, out-of-fold probabilities tell nothing.
+    chance = spark.createDataFrame([(i, 1, int(x)) for i, x in enumerate(rng.integers(0, 2, 900))], "doc_id long, quality int, toxic int")
+    _, held, frame = toxicity.fit(docs, chance)
+    toxic = frame["toxic"].to_numpy() == 1
+    assert abs((held[:, 1][toxic][:, None] > held[:, 1][~toxic][None]).mean() - 0.5) < 0.08
     edge = spark.createDataFrame([(None, None), (1, ""), (1, "vile " * 50)], "doc_id long, text string")
     assert toxicity.toxicity(edge, marks.where("false")).where("rejected").count() == 0
     assert toxicity.toxicity(none, marks).count() == 0
@@ -322,9 +376,21 @@ def test_token_output(spark, odd, none, library):
 
 def test_grammars_expand_to_what_they_were():
     rng = np.random.default_rng(6)
-    for ids in (np.zeros(1000, "<u4"), rng.integers(0, 5, 5000).astype("<u4"), rng.integers(0, 50_000, 3000).astype("<u4"), np.tile(np.arange(7, dtype="<u4"), 400), np.zeros(0, "<u4")):
+    words = [rng.integers(0, 300, rng.integers(2, 9)) for _ in range(200)]
+    for ids in (np.zeros(1000, "<u4"), rng.integers(0, 5, 5000).astype("<u4"), rng.integers(0, 50_000, 3000).astype("<u4"), np.tile(np.arange(7, dtype="<u4"), 400), np.zeros(0, "<u4"), np.concatenate([words[i] for i in rng.integers(0, 200, 4000)]).astype("<u4")):
         segment = token_output.Segment(token_output.write_segment(ids, [len(ids)]))
         assert (segment.ids() == ids).all()
+        # No pair that does not overlap itself is left so often that it would pay.
+        left = Counter(zip(segment.symbols[:-1].tolist(), segment.symbols[1:].tolist()))
+        assert all(n < token_output.LEAST for (a, b), n in left.items() if a != b)
+        assert all(segment.length[k] == len(segment.expand(np.array([segment.terminals + k]))) for k in range(len(segment.length)))
+
+
+def test_pairs_are_counted_exactly(monkeypatch):
+    monkeypatch.setattr(token_output, "TABLE_BITS", 4)
+    pairs = np.random.default_rng(1).integers(0, 60, 2000)
+    distinct, count, which = token_output._counted(pairs)
+    assert (distinct[which] == pairs).all() and dict(zip(distinct.tolist(), count.tolist())) == Counter(pairs.tolist())
 
 
 def test_language_model(spark, odd, none):
@@ -346,16 +412,83 @@ def test_language_model(spark, odd, none):
         assert got[d]["train_tokens"] == total and got[d]["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 1)
     held = [r for r in got.values() if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) + 20 * len(held)  # it has learnt the order
+    assert got[0]["train_tokens"] < lm_scoring.LEAST_LEARNT
     told = lm_scoring.score_texts(odd).collect()
     assert len(told) == len(ODD) and all(math.isfinite(r["score"]) for r in told)
     assert lm_scoring.score_texts(none).count() == 0
 
 
+def vocabulary_of(texts):
+    counts = Counter(w for t in texts for w in [*t.split(), "\n"])
+    table = pa.table({"word": list(counts), "c": list(counts.values())}).sort_by([("c", "descending"), ("word", "ascending")])
+    in_tail = np.zeros((lm_scoring.TAILS, 2))
+    for word, c in counts.items():
+        if word != "\n":
+            in_tail[lm_scoring.tails(pa.array([word]))[0]] += (c, 1)
+    return lm_scoring.Vocabulary(table, sum(counts.values()), len(counts), in_tail), counts
+
+
 def test_model_is_normalised():
+    v, _ = vocabulary_of([" ".join(f"w{i % k}" for i in range(k * 9)) for k in (5, 30, 70)])
     rng = np.random.default_rng(0)
-    table = lm_scoring.train(rng.integers(0, lm_scoring.SYMBOLS**3, 500), rng.integers(1, 9, 500), steps=20)
-    assert np.allclose((10.0**table).sum(1), 1, atol=1e-4)
-    assert np.allclose((10.0 ** lm_scoring.train(np.zeros(0, int), np.zeros(0, int))).sum(1), 1, atol=1e-4)
+    p = {k: x + rng.normal(0, 0.3, x.shape).astype(np.float32) * (x > -1e8) for k, x in lm_scoring.start(v).items()}
+    for a, b in ((0, 1), (v.end, v.end), (v.n - 1, 3)):
+        logs = lm_scoring.log_probabilities(v, p, np.full(v.n, a), np.full(v.n, b), np.arange(v.n))
+        assert math.isclose((10.0**logs).sum(), 1, rel_tol=1e-5)
+
+
+def test_scores_against_a_loop(spark, monkeypatch):
+    """Word by word, from the same parameters: the model's symbol, and a tail's word by its share."""
+    rng = np.random.default_rng(4)
+    texts = {d: " ".join(f"w{int(x)}" for x in rng.zipf(1.6, 50) % 400) for d in range(60)} | {99: "", 98: "NEVER seen W1"}
+    made = {}
+    real = lm_scoring.train
+    monkeypatch.setattr(lm_scoring, "HELD", 40)
+    monkeypatch.setattr(lm_scoring, "train", lambda rows, v, known: made.setdefault("p", (v, real(rows, v, known)))[1])
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score_texts(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    v, p = made["p"]
+    training = [t.lower() for d, t in texts.items() if zlib.crc32(str(d).encode()) % 5 != 1]
+    counts = Counter(w for t in training for w in [*t.split(), "\n"])
+    own = {w: int(v.symbol[i]) for i, w in enumerate(v.word.to_pylist())}
+    tail_of = lambda w: int.from_bytes(w.encode()[-2:], "big") % lm_scoring.TAILS
+    modelled = {w for w in own if not v.is_tail[own[w]]}
+    for d, text in texts.items():
+        total, before, last = 0.0, v.end, v.end
+        for w in [*text.lower().split(), "\n"]:
+            symbol = v.end if w == "\n" else own[w] if w in modelled else int(v.tail_symbol[tail_of(w)])
+            context = p["before"][before] @ p["turn1"] + p["before"][last] @ p["turn2"]
+            k, m = divmod(symbol, v.width)
+            for logits, at in ((p["class"] @ context + p["class_bias"], k), (p["after"].reshape(v.classes, v.width, -1)[k] @ context + p["bias"].reshape(v.classes, -1)[k], m)):
+                e = np.exp((logits - logits.max()).astype(float))
+                total += math.log10(e[at] / e.sum())
+            if w != "\n" and w not in modelled:
+                members = [x for x in counts if x != "\n" and x not in modelled and tail_of(x) == tail_of(w)]
+                total += math.log10((counts[w] + 0.5) / (sum(counts[x] for x in members) + 0.5 * (len(members) + 1)))
+            before, last = last, symbol
+        assert math.isclose(got[d], total, rel_tol=1e-4), d
+
+
+def test_words_of_a_batch():
+    texts = ["A b\x0bC\x1cd  e\t", None, "", "  ", "é É\x85x\n b"]
+    distinct, code, text = lm_scoring.words(pa.array(texts))
+    got = [[] for _ in texts]
+    for c, t in zip(code.tolist(), text.tolist()):
+        got[t].append(distinct[c].as_py())
+    lower = lambda w: "".join(c.lower() if c.isascii() else c for c in w)
+    assert got == [[lower(w) for w in BLANKS.findall(t or "")] for t in texts]
+    v, _ = vocabulary_of(["a b", "", "c"])
+    first, last, line = v.lines(3, np.array([0, 0, 2]), np.array([5, 6, 7]))
+    e = v.end
+    assert line.tolist() == [5, 6, e, e, 7, e] and last.tolist() == [e, 5, 6, e, e, 7] and first.tolist() == [e, e, 5, e, e, e]
+
+
+def test_parameters_are_averaged_by_tokens(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "FAN_IN", 2)
+    parts = [(k, piece, float(k + 1), bytearray((np.full(3, 10.0 * k + piece, np.float32) * (k + 1)).tobytes())) for k in range(5) for piece in range(2)]
+    like = {"a": np.zeros(2, np.float32), "b": np.zeros((2, 2), np.float32)}
+    flat = lm_scoring._average(spark.createDataFrame(parts, lm_scoring.AVERAGED), like)
+    mean = sum(10.0 * k * (k + 1) for k in range(5)) / 15
+    assert np.allclose(flat, [mean] * 3 + [mean + 1] * 3)
 
 
 VECTORS = "vec_id long, embedding array<float>, label int"
@@ -388,12 +521,67 @@ def test_nearest(spark, vectors):
         assert [r["rank"] for r in found] == list(range(1, 11)) and all(math.isclose(r["score"], d[r["vec_id"]], rel_tol=1e-12) for r in found)
         hit += len({r["vec_id"] for r in found} & set(best.tolist()))
     assert hit >= 0.95 * 10 * len(by)
+    # Rows that repeat a query, or share its id, are queries and candidates of their own.
+    again = [(i, v.tolist(), 0) for i, v in enumerate(x[:40])] + [(0, x[0].tolist(), 0), (20, x[0].tolist(), 0), (0, x[7].tolist(), 0)]
+    same = nearest.nearest(spark.createDataFrame(again, VECTORS), F.col("id") == 0).orderBy("rank", "vec_id").collect()
+    assert len(same) == 30 and sorted((r["vec_id"], r["score"]) for r in same if r["rank"] == 1) == [(0, 0.0), (0, 0.0), (7, 0.0)]
+    assert sorted((r["vec_id"], r["score"]) for r in same if r["rank"] == 2)[:2] == [(20, 0.0)] * 2
     few = nearest.nearest(spark.createDataFrame(rows[:4], VECTORS), F.col("id") == 0).collect()
     assert len(few) == 3
     assert nearest.nearest(spark.createDataFrame([], VECTORS), F.col("id") == 0).count() == 0
     assert abs(float(nearest.chi_square(nearest._STOP)) - nearest.CONFIDENCE) < 1e-9
 
 
+def test_nearest_in_many_cells_and_blocks(spark, monkeypatch):
+    """Recall over 64 cells and several blocks of queries, in clusters and in uniform vectors; one vector is in a
+    third of all rows."""
+    for name, most in (("LEAST_CELL", 64), ("MOST_CELL", 64), ("QUERY_BLOCK", 7), ("LEAF", 16)):
+        monkeypatch.setattr(nearest, name, most)
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((40, 24))
+    x = np.concatenate([centres[rng.integers(0, 40, 2000)] + 0.2 * rng.standard_normal((2000, 24)), rng.standard_normal((700, 24)), np.repeat(centres[:1], 1300, axis=0)])
+    x = x[rng.permutation(len(x))]
+    got = nearest.nearest(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int"), F.col("id") % 40 == 0).collect()
+    hit, by = 0.0, {}
+    for r in got:
+        by.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    assert len(by) == 100 and all(len(v) == 10 for v in by.values())
+    for q, found in by.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hit += len(set(np.lexsort((np.arange(len(d)), d))[:10].tolist()) & {i for _, i in found})
+    assert hit >= 0.95 * 1000
+
+
+def test_vector_dedup_on_repeated_ids(spark, vectors):
+    """An id's rows of other labels and vectors are rows of their own."""
+    x, _ = vectors
+    a, b, c = (x[i].tolist() for i in (0, 1, 2))
+    rows = [(1, a, 0), (1, a, 1), (2, a, 0), (3, a, 0), (3, b, 0), (1, b, 0), (9, c, 1), (8, c, 1)]
+    got = sorted(map(tuple, vector_dedup.near_vectors(spark.createDataFrame(rows, VECTORS)).collect()))
+    assert got == [(1, 0, 1, True), (1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (3, 2, 1, False), (8, 1, 8, True), (9, 1, 8, False)]
+
+
+def test_vector_dedup_in_blocks(spark, monkeypatch):
+    """Lists of several blocks, many pivots: every link of a dense cluster and nearly all at the threshold."""
+    monkeypatch.setattr(vector_dedup, "BLOCK", 16)
+    monkeypatch.setattr(vector_dedup, "LEAST_PIVOTS", 256)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((900, 32))
+    x[:200] = x[0] + 0.1 * rng.standard_normal((200, 32))
+    for i in range(200, 800, 2):  # cosine 0.93 to 0.95
+        n = rng.standard_normal(32)
+        n -= (n @ x[i]) / (x[i] @ x[i]) * x[i]
+        k = rng.uniform(0.931, 0.95)
+        x[i + 1] = k * x[i] + np.sqrt(1 - k * k) * n / np.linalg.norm(n) * np.linalg.norm(x[i])
+    got = {r["vec_id"]: r["n_links"] for r in vector_dedup.near_vectors(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.93
+    np.fill_diagonal(near, False)
+    want = near.sum(1)
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.99 * want.sum() and sum(got[i] for i in range(200, 800)) >= 0.97 * want[200:800].sum()
+
+
 def test_vector_dedup(spark, vectors):
     x, label = vectors
     rows = [(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label))]

@@ -42,6 +42,24 @@ def test_odd_rows_pass(spark):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_empty_tables_long_texts_and_clashing_columns(spark):
+    """Every stage on an empty table, on texts of thousands of words, and beside columns of the stages' own names."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, ROW_number long, rejected string, copy int, copies int, rate double, size int"
+    long = " ".join(f"w{i % 900}" for i in range(30_000))
+    rows = [(1, long, "en", "a", 1, 7, "x", 1, 2, 0.5, 3), (2, long + " more", "en", "a", 1, 7, "x", 1, 2, 0.5, 3), (None, None, None, None, None, None, None, None, None, None, None), (3, "a b c d e f g", "en", "b", 1, 8, "y", 1, 2, 0.5, 3)]
+    for given, kept in ((rows, [None, 1, 3]), ([], [])):
+        docs = materialise(spark.createDataFrame(given, schema), "in")
+        for name, stage in corpus_pipeline.STAGES:
+            before = docs
+            docs = materialise(stage(spark, docs, SF), f"odd-{name}")
+            if name != "packing":
+                assert docs.columns == before.columns
+            if name == "near_duplicates":
+                assert sorted((r["doc_id"] for r in docs.collect()), key=lambda x: (x is not None, x)) == kept
+                for r in docs.where("doc_id = 1").collect():
+                    assert tuple(r) == rows[0]
+
+
 def test_rows_that_share_an_id(spark):
     """Unlike texts of one id both stay; a copy of another document goes, though its id has a row that stays."""
     rows = [(1, "a b c d e f", "en", "a", 5), (1, "g h i j k l", "en", "a", 5), (2, "A b c d e f", "en", "a", 5), (2, "m n o p q r", "en", "a", 5)]
