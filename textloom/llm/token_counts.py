@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import prepare
+from textloom.llm.common import prepare, trimmed
 from textloom.llm.encoding import encoder, vocabulary
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -33,4 +33,4 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512, id_
             yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array(tokens, pa.int64()), pa.array(tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     text = F.col(text_col).cast("string").alias("text")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text).mapInArrow(count, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text).mapInArrow(trimmed(count), SCHEMA)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textloom.llm.common import prepare, shared_dir
+from textloom.llm.common import prepare, shared_dir, trimmed
 from textloom.llm.encoding import encoder, vocabulary
 
 MAGIC = b"RPG1"
@@ -217,7 +217,7 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     by_id = rows.repartitionByRange(shards, "doc_id") if shards else rows.repartitionByRange("doc_id")
-    by_id.sortWithinPartitions("doc_id").mapInArrow(make, FILES).write.option("compression", "zstd").parquet(out)
+    by_id.sortWithinPartitions("doc_id").mapInArrow(trimmed(make), FILES).write.option("compression", "zstd").parquet(out)
 
 
 def read_tokens(spark, out: str) -> DataFrame:
@@ -243,7 +243,7 @@ def read_tokens(spark, out: str) -> DataFrame:
     shard_base = shard_base.select("shard", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
     bases = sizes.select("shard", "segment", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("within")).join(shard_base, "shard")
     bases = bases.select("shard", "segment", (F.col("base") + F.col("within")).alias("before"))
-    rows = files.select("shard", "segment", "doc_ids", "payload").mapInArrow(decode, DOCS)
+    rows = files.select("shard", "segment", "doc_ids", "payload").mapInArrow(trimmed(decode), DOCS)
     return rows.join(bases, ["shard", "segment"]).select("doc_id", (F.col("before") + F.col("local_start")).cast("long").alias("start"), "n_tokens", "ids_crc32")
 
 
