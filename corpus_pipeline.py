@@ -16,32 +16,47 @@ from textloom.llm import minhash, mixing, packing, toxicity
 from textloom.llm.common import materialise, table
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """``name``, or a longer one that no column of ``docs`` has, whatever the case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, written once, so that every later read agrees on it; and its name."""
+    row = _free("row_number", docs)
+    return materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain, fitted on a bounded sample of this input's labelled documents, does not reject."""
     chain, _, _ = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, chain, prefix="__p_", flag="__rejected").where("not __rejected").select(*docs.columns)
+    flag = _free("rejected", docs)
+    return toxicity.score(docs, chain, prefix=_free("probability_of_", docs), flag=flag).where(~F.col(flag)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the row with the least id; rows without an id stand behind all others in
     their order. Rows are told apart by a number of their own, so rows that share an id go only where their texts are
-    similar, or have no word at all."""
-    keyed = materialise(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
-    told = minhash.near_duplicates(keyed, id_col="__key").select(F.col("doc_id").alias("__key"), "n_shingles", "component_id")
-    told = told.join(keyed.select("__key", F.col("doc_id").cast("long").alias("__id")), "__key")
-    empty = F.col("n_shingles") == 0
-    group = [F.when(~empty, F.col("component_id")), F.when(empty, F.col("__id")), F.when(empty & F.col("__id").isNull(), F.col("__key"))]
-    kept = told.groupBy(*[x.alias(f"__g{i}") for i, x in enumerate(group)]).agg(F.min_by("__key", F.struct(F.col("__id").isNull(), "__id", "__key")).alias("__key"))
-    return keyed.join(materialise(kept.select("__key"), "kept"), "__key").select(*docs.columns)
+    similar. Rows without any word stay."""
+    keyed, row = _numbered(docs)
+    told = minhash.near_duplicates(keyed, id_col=row).select(F.col("doc_id").alias("key"), "n_shingles", "component_id")
+    told = materialise(told.join(keyed.select(F.col(row).alias("key"), F.col("doc_id").cast("long").alias("id")), "key"), "told")
+    best = told.where("n_shingles > 0").groupBy("component_id").agg(F.min_by("key", F.struct(F.col("id").isNull(), "id", "key")).alias("key")).select("key")
+    kept = materialise(best.union(told.where("n_shingles = 0").select("key")), "kept").withColumnRenamed("key", row)
+    return keyed.join(kept, row).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, up to three times."""
-    numbered = docs.withColumn("__doc_row", F.monotonically_increasing_id())
-    rows = numbered.select(F.col("doc_id").cast("long").alias("doc_id"), "source", mixing.word_count(F.col("text")).alias("size"), "__doc_row")
-    copies = mixing.mix_sized(materialise(rows, "mix"), extra=["__doc_row"]).where("copies > 0").select("__doc_row", F.col("copies").alias("__copies"))
-    taken = numbered.join(materialise(copies, "copies"), "__doc_row")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    numbered, row = _numbered(docs)
+    rows = numbered.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), mixing.word_count(F.col("text")).alias("size"), F.col(row).alias("row"))
+    copies = mixing.mix_sized(materialise(rows, "mix"), extra=["row"]).where("copies > 0")
+    copies = materialise(copies.select(F.col("row").alias(row), F.sequence(F.lit(1).cast("long"), F.col("copies")).alias(_free("copies", numbered))), "copies")
+    copy = copies.columns[1]
+    return numbered.join(copies, row).select(*docs.columns, F.explode(copy).alias(_free("copy", numbered))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
