@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.schemas import EDGES, SYMBOLS
+from textloom.session import prepare
 
 # The file families and the forms that count as declarations and imports.
 SCRIPT = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts")
@@ -148,6 +149,7 @@ def targets(file: str, specifier: str) -> tuple[str, list[str]]:
 
 def symbols_of(files: DataFrame, max_context: int = 240, max_bytes: int | None = None) -> DataFrame:
     """Symbols of ``files`` (path, text). A null text has none; a text over ``max_bytes`` is not searched."""
+    prepare(files.sparkSession)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,6 +161,7 @@ def symbols_of(files: DataFrame, max_context: int = 240, max_bytes: int | None =
 
 def imports_of(files: DataFrame, max_context: int = 240, max_bytes: int | None = None) -> DataFrame:
     """(from, specifier, line, context, seq, status, candidates) of ``files`` (path, text)."""
+    prepare(files.sparkSession)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,6 +183,7 @@ CANDIDATES = "from string, specifier string, line int, context string, seq int,
 def with_candidates(edges: DataFrame) -> DataFrame:
     """Edges (from, specifier, line, context, seq) with the candidates of their targets, as the set of files may have
     changed."""
+    prepare(edges.sparkSession)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.session import prepare
+
 # The limits of a read.
 MOST_WINDOW, MOST_SEARCH, LONGEST_LITERAL, LONGEST_REGEX = 16 << 20, 64 << 20, 65536, 256
 WINDOW, CONTEXT, REGEX_SCAN, BUDGET_MS, MOST_BUDGET_MS = 4096, 256, 16 << 20, 1000, 10000
@@ -222,6 +224,7 @@ AROUND = "id long, byte_offset long, length_bytes long, snippet string, status s
 
 def slices_around(rows: DataFrame, find: str, before: int, length: int, id_col: str = "doc_id", text_col: str = "text", **request) -> DataFrame:
     """(id, byte_offset, length_bytes, snippet, status): of each row's text the window around what is found in it."""
+    prepare(rows.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,6 +238,7 @@ def slices_around(rows: DataFrame, find: str, before: int, length: int, id_col:
 def paged(texts: DataFrame, length: int, id_col: str = "doc_id", data_col: str = "data") -> DataFrame:
     """(id, page, byte_offset, piece): each binary text in windows that begin at every ``length``-th byte, moved
     forward to a character, in one pass over it."""
+    prepare(texts.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,6 +258,7 @@ FOUND = "hit_byte long, status string, complete boolean, scanned long, next_from
 
 def search_texts(rows: DataFrame, find: str, regex: bool = False, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
     """(id, hit_byte, status, complete, scanned, next_from) of each row's text; a null text is an empty one."""
+    prepare(rows.sparkSession)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = find_regex if regex else find_literal

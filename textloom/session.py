@@ -14,7 +14,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 #: Rows and bytes of one Arrow batch, where the session sets none: bounds what a Python worker holds at once.
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -33,21 +33,25 @@ def session(app: str = "textloom", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
-@functools.cache
-def _ship(application: str) -> str:
+_shipped: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
     """This package as an archive for the executors' Python workers; made and sent once an application."""
+    if spark.sparkContext.applicationId in _shipped:
+        return
+    _shipped.add(spark.sparkContext.applicationId)
     root = Path(__file__).resolve().parent
     archive = Path(tempfile.mkdtemp(prefix="textloom-")) / "textloom.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for file in sorted(root.rglob("*.py")):
             z.write(file, file.relative_to(root.parent))
-    SparkSession.getActiveSession().sparkContext.addPyFile(str(archive))
-    return str(archive)
+    spark.sparkContext.addPyFile(str(archive))
 
 
 def prepare(spark: SparkSession) -> None:
     """Give Python workers this package, and bound Arrow batches unless the session sets their bounds itself."""
-    _ship(spark.sparkContext.applicationId)
+    _ship(spark)
     own = spark.conf.getAll
     for key, value in ARROW.items():
         if key not in own:
