@@ -54,24 +54,29 @@ def ranked(df: DataFrame, group: list[str], lead: list[Column], tie: list[Column
 
     No task sees a whole group: the hash range is cut into buckets, of about ``per_bucket`` rows over all, bucket
     totals are summed over two levels, and only the rows of one bucket are sorted together. The order does not
-    depend on the number of buckets.
+    depend on the number of buckets. Rows that are equal in all columns are one row with a count until their places
+    are told, so that repeats don't crowd a bucket.
     """
-    side = max(1, round((df.count() / per_bucket) ** 0.5))
+    columns = df.columns
+    df = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__c"))
+    side = max(1, round((df.agg(F.coalesce(F.sum("__c"), F.lit(0))).first()[0] / per_bucket) ** 0.5))
     bucket = F.floor(F.col("__hash") * F.lit(side * side) / F.lit(float(1 << 32))).cast("long")
     keyed = df.withColumn("__hash", hash32(*tie)).withColumn("__lead", F.struct(*[x.alias(f"k{i}") for i, x in enumerate(lead)]) if lead else F.lit(0))
     keyed = keyed.withColumn("__hi", F.floor(bucket / side).cast("long")).withColumn("__lo", bucket % side)
     coarse_key = [*group, "__lead", "__hi"]
     fine_key = [*coarse_key, "__lo"]
-    counts = keyed.groupBy(*fine_key).agg(F.count(F.lit(1)).alias("__n"))
+    counts = keyed.groupBy(*fine_key).agg(F.sum("__c").alias("__n"))
     coarse = counts.groupBy(*coarse_key).agg(F.sum("__n").alias("__m"))
     before = W.partitionBy(*group).orderBy("__lead", "__hi").rowsBetween(W.unboundedPreceding, -1)
     inside = W.partitionBy(*coarse_key).orderBy("__lo").rowsBetween(W.unboundedPreceding, -1)
     start = coarse.withColumn("__base", F.coalesce(F.sum("__m").over(before), F.lit(0))).drop("__m")
     places = counts.withColumn("__within", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
     places = null_safe_join(places, start, coarse_key).select(*fine_key, (F.col("__base") + F.col("__within")).alias("__from"))
-    local = keyed.withColumn("__row", F.row_number().over(W.partitionBy(*fine_key).orderBy("__hash", *tie)) - 1)
+    above = W.partitionBy(*fine_key).orderBy("__hash", *tie, *columns).rowsBetween(W.unboundedPreceding, -1)
+    local = keyed.withColumn("__row", F.coalesce(F.sum("__c").over(above), F.lit(0)))
     joined = null_safe_join(local, places, fine_key)
-    return joined.withColumn(out, (F.col("__from") + F.col("__row")).cast("long")).drop("__hash", "__lead", "__hi", "__lo", "__row", "__from")
+    first = (F.col("__from") + F.col("__row")).cast("long")
+    return joined.withColumn(out, F.explode(F.sequence(first, first + F.col("__c") - 1))).select(*columns, out)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
