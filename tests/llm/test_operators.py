@@ -82,6 +82,13 @@ def test_sharding(spark, odd, none):
     assert heavy[0] > 2.5 * heavy[5]
     moved = [(a["shard"], b["shard"]) for a, b in zip(sorted(rows, key=lambda r: r["doc_id"]), sorted(sharding.assign_shards(docs, 8, {0: 4.0}).collect(), key=lambda r: r["doc_id"])) if a["shard"] != b["shard"]]
     assert all(b in (0, 1, 2, 3) for _, b in moved)  # a weight's change moves rows into its own region only
+    # Sizes and checksums by a loop; rows that repeat have a place each, whatever their number.
+    many = spark.createDataFrame([(d, t) for d, t, *_ in ODD for _ in range(40 if d == 1 else 1)], "doc_id long, text string")
+    got = sharding.assign_shards(many, 3).collect()
+    want = Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, *_ in ODD for _ in range(40 if d == 1 else 1))
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want and {r["law"] for r in got} == {"key"}
+    for s in range(3):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
     got = sharding.assign_shards(odd, 3).collect()
     assert len(got) == len(ODD) and {r["size"] for r in got if r["doc_id"] in (2, 3)} == {1}
     assert len({r["shard"] for r in got if r["doc_id"] == 1}) == 1 and sharding.assign_shards(none, 3).count() == 0
@@ -355,6 +362,15 @@ def test_unlike_partitions_pack_together(spark):
     assert len(taken) == n and all(sorted(x) == [(0, 1100), (1100, 900)] for x in taken.values())
 
 
+def test_partitions_by_length_pack_as_one(spark):
+    """Pieces sorted by length over 8 partitions need hardly more sequences than best fit over all of them."""
+    rng = np.random.default_rng(1)
+    for lengths in (np.repeat([1500, 500], 1000), np.sort(rng.integers(1, 2048, 4000))):
+        rows = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(lengths)], packing.PIECES).repartitionByRange(8, "doc_id")
+        used = packing.pack_pieces(rows).select("sequence_id").distinct().count()
+        assert used <= 1.01 * len(packing.best_fit(lengths, 2048)[1])
+
+
 def test_token_output(spark, odd, none, library):
     rows = [r for r in ODD if r[0] is not None]
     got = sorted(map(tuple, token_output.round_trip(odd.where("doc_id is not null")).collect()))

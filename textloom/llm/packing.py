@@ -20,6 +20,9 @@ CAPACITY = 2048
 NEARLY_FULL = 32
 #: Pieces that are packed at once in a partition; so a task's memory is bounded.
 LOCAL = 200_000
+#: Pieces that a partition packs, about. They are dealt out in turn, so that each partition has short and long ones,
+#: however the table is laid out.
+DEALT = 20_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: ``sequence_id`` and ``offset`` of the pieces in nearly full bins; of the others the partition and the place among
@@ -160,13 +163,15 @@ def _local(capacity: int):
 def pack_pieces(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``rows`` (the columns of ``PIECES``) with sequence_id and offset.
 
-    Each partition packs its pieces by best fit and emits the nearly full bins. All other bins are taken apart and
+    Pieces are dealt out to partitions; each packs its own by best fit and emits the nearly full bins. All other bins are taken apart and
     their pieces packed once more, by best fit over all partitions: the pieces of each length are counted, the
     counts are packed, and each piece goes where its place among those of its length is. Only counts are gathered,
     ``capacity`` at most.
     """
     full = rows.where(F.col("length") >= capacity)
-    packed = materialise(rows.where(F.col("length") < capacity).mapInArrow(_local(capacity), LOCALLY), "packed")
+    short = rows.where(F.col("length") < capacity)
+    dealt = short.repartition(max(1, -(-short.count() // DEALT)))
+    packed = materialise(dealt.mapInArrow(_local(capacity), LOCALLY), "packed")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     done = packed.where("place is null").select(*columns, "sequence_id", "offset")
     rest = packed.where("place is not null").select(*columns, "part", "place")
