@@ -288,7 +288,7 @@ def test_toxicity(spark, none):
     assert wrong <= 4 and all(0 <= r["p_severe"] <= 1 for r in got.values())
     # Repeated ids and very long texts: of an id's texts the least is fitted on, within the sample's bytes.
     twice = spark.createDataFrame([(0, "vile " * 40_000), (0, "nasty"), (0, "nasty"), (2, None), (4, "b " * 40_000)], "doc_id long, text string")
-    frame = toxicity.labelled_sample(twice, marks, "doc_id", "text", 10_000, 1000)
+    frame = toxicity.labelled_sample(twice, marks, "doc_id", "text", 10_000, 1000).toPandas().sort_values("id")
     assert [(i, t) for i, t in zip(frame["id"], frame["text"])][0] == (0, "nasty") and frame["id"].tolist() == [0, 2]
     told = toxicity.score(twice, toxicity.fit(docs, marks)[0]).collect()
     assert len(told) == 5 and [r["rejected"] for r in told if r["text"] and r["text"].startswith("vile")] == [True]

@@ -6,6 +6,7 @@ training these are out-of-fold, so that a model meets them as uncertain as they
 
 from __future__ import annotations
 
+import pickle
 import re
 from array import array
 from collections import Counter
@@ -204,9 +205,9 @@ class FeatureTable:
         return list(out)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int, sample_bytes: int = SAMPLE_BYTES) -> pd.DataFrame:
-    """Up to ``sample`` labelled texts with their labels, by id, of ``sample_bytes`` in all; labels that are null or
-    no 0 or 1 are left out. Of an id's texts the least serves, chosen before anything is sent to the driver."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(id, quality, toxic, text) of up to ``sample`` labelled texts, of ``sample_bytes`` in all; labels that are null
+    or no 0 or 1 are left out. Of an id's texts the least serves."""
     own = labels.select(F.col("doc_id").cast("long").alias("id"), "quality", "toxic").where("id is not null and quality in (0, 1) and toxic in (0, 1)")
     own = own.groupBy("id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     picked = materialise(own.orderBy(hash32(F.col("id")), "id").limit(sample), "labels")
@@ -222,7 +223,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
             room -= n
     if len(kept) < len(size):
         found = found.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in kept], "id long")), "id")
-    return found.toArrow().to_pandas().sort_values("id").reset_index(drop=True)
+    return found
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[Chain, np.ndarray, pd.DataFrame]:
@@ -232,12 +233,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     without a toxic one, the chain rejects nothing.
     """
     prepare(docs.sparkSession)
-    frame = labelled_sample(docs, labels, id_col, text_col, sample)
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [pa.Table.from_batches([b]) for b in batches]
+        if held:
+            frame = pa.concat_tables(held).to_pandas().sort_values("id").reset_index(drop=True)
+            chain, told = fit_frame(frame)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((chain, told, frame.drop(columns="text")))], pa.binary())], ["fitted"])
+
+    # One task fits, as the sample is bounded; its texts don't come to the driver.
+    sampled = labelled_sample(docs, labels, id_col, text_col, sample)
+    fitted = sampled.repartition(1).mapInArrow(trimmed(train), "fitted binary").toArrow()["fitted"].to_pylist()
+    return pickle.loads(fitted[0]) if fitted else (*fit_frame(pd.DataFrame({"quality": [], "toxic": [], "text": []})), pd.DataFrame({"id": [], "quality": [], "toxic": []}))
+
+
+def fit_frame(frame: pd.DataFrame) -> tuple[Chain, np.ndarray]:
+    """The chain fitted on (quality, toxic, text), and its out-of-fold probabilities."""
+    if not len(frame):
+        return Chain([], [np.append(np.zeros(DENSE + k), -40.0) for k in range(len(NAMES))], 2.0), np.zeros((0, len(NAMES)))
     texts = [None if t != t else t for t in frame["text"].tolist()]
     kinds = categories(frame["quality"].to_numpy(), frame["toxic"].to_numpy())
-    if not len(frame):
-        n = DENSE
-        return Chain([], [np.append(np.zeros(n + k), -40.0) for k in range(len(NAMES))], 2.0), np.zeros((0, len(NAMES))), frame
     fold = np.random.default_rng(11).permutation(len(frame)) % FOLDS
     table = FeatureTable(texts)
     chosen = table.choose(kinds, np.ones(len(frame), bool))
@@ -247,8 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     x = Vectoriser(every).matrix(texts)
     place, rest = {f: i for i, f in enumerate(every)}, list(range(len(every), len(every) + DENSE))
     columns = [np.array([place[f] for f in names] + rest) for names in (chosen, *by_fold)]
-    chain, held = fit_chain(chosen, x, kinds, fold, columns[0], columns[1:])
-    return chain, held, frame
+    return fit_chain(chosen, x, kinds, fold, columns[0], columns[1:])
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "p_", flag: str = "rejected") -> DataFrame:
