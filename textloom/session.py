@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import functools
 import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -43,6 +44,7 @@ def _ship(spark: SparkSession) -> None:
     _shipped.add(spark.sparkContext.applicationId)
     root = Path(__file__).resolve().parent
     archive = Path(tempfile.mkdtemp(prefix="textloom-")) / "textloom.zip"
+    atexit.register(shutil.rmtree, archive.parent, ignore_errors=True)
     with zipfile.ZipFile(archive, "w") as z:
         for file in sorted(root.rglob("*.py")):
             z.write(file, file.relative_to(root.parent))
@@ -60,7 +62,9 @@ def prepare(spark: SparkSession) -> None:
 
 @functools.cache
 def _own_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix="textloom-")
+    folder = tempfile.mkdtemp(prefix="textloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def _base(spark: SparkSession) -> str:
