@@ -236,6 +236,37 @@ def test_one_common_band_is_enough(spark):
     assert common == 1 and [tuple(r)[:2] for r in minhash._pairs_in_blocks(mixed, 80, True).collect()] == [(2, 1)]
 
 
+def test_a_pair_of_many_buckets_is_told_once(spark, monkeypatch):
+    """Ten unlike sets of equal registers that meet in thirty buckets make 45 pairs, not 1,350; of short similar sets
+    only the links of a tree are told."""
+    regs = np.random.default_rng(6).integers(0, 60_000, minhash.REGISTERS).astype(np.uint16).tobytes()
+    kind = "key long, n int, id long, size int, component long, regs binary, small binary"
+    rows = [(key, 10, i, 400, i, bytearray(regs), None) for key in range(30) for i in range(10)]
+    for all_pairs in (True, False):
+        for name in ("distinct", "dropDuplicates"):  # what the blocks themselves tell
+            monkeypatch.setattr(type(spark.range(0)), name, lambda frame, *a: frame)
+        told = minhash._pairs_in_blocks(spark.createDataFrame(rows, kind), 80, all_pairs).count()
+        monkeypatch.undo()
+        assert told == 45
+    whole = bytearray(np.arange(40, dtype=np.uint64).tobytes())
+    mixed = spark.createDataFrame([(key, 10, i, 40, i, bytearray(regs), whole) for key in range(30) for i in range(10)], kind)
+    assert minhash._pairs_in_blocks(mixed, 80, True).count() == 9
+
+
+def test_pairs_are_confirmed_by_cells(spark):
+    """A set comes once to a cell, and only links that join two trees are told; pairs that aren't similar give none."""
+    sets = [np.arange(100 * (i // 10) + i % 10, 100 * (i // 10) + i % 10 + 90, dtype=np.uint64) for i in range(20)]
+    x, y = np.triu_indices(20, 1)
+    found = minhash._similar_forest(sets, x, y, 80)
+    assert found.sum() == 18 and all(minhash.similar(sets[a], sets[b], 80) for a, b in zip(x[found], y[found]))
+    judge = minhash._Judge(None, None, 4, 80)
+    judge.fetch = lambda pairs: None
+    judge.whole = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "id long, whole binary")
+    links = judge.links(spark.createDataFrame([(7, False, list(range(20)), x.tolist(), y.tolist())], minhash.CELLS))
+    assert links.count() == 18
+    assert {r["component"] for r in minhash.components(links, "id", "other").collect()} == {0, 10}
+
+
 def test_similar_pairs_share_a_rare_shingle(spark):
     """Whatever the counts: two texts at similarity 0.8 or more have one of their rarest shingles in common, and texts
     that share but a passage meet nowhere."""

@@ -37,6 +37,9 @@ BLOCK = 64
 #: Members of a block where all pairs of blocks meet, so that a member is copied to few of them: by registers, and in
 #: the comparison of whole sets as a matrix of members and shingles.
 LAST_BLOCK, EXACT_BLOCK = 512, 128
+#: Shingles (8 bytes each) of the sets of a part of a block. The pairs of two parts are confirmed together, by one task
+#: that has each of their sets once.
+PART_SHINGLES = 1 << 15
 #: A shingle is frequent if it stands in so many sets of a batch; the counts of up to so many of them are shared (8 MB).
 FREQUENT, COUNTED = 4, 1 << 19
 #: Bits of the map of ids whose texts are to be read again, for each id and at most.
@@ -152,6 +155,36 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 PAIRS = "id long, other long, rate double, sure boolean"
+#: Pairs that are confirmed together, likeliest first: places x and y in ``ids``. The lists are small beside the sets.
+CELLS = "cell long, sure boolean, ids array<long>, x array<int>, y array<int>"
+
+
+def _top(root: list[int], v: int) -> int:
+    while root[v] != v:
+        root[v] = root[root[v]]
+        v = root[v]
+    return v
+
+
+def _forest(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the links x, y among ``n`` nodes join two trees, as they come; and the tree of each node."""
+    root, keep = list(range(n)), np.zeros(len(x), bool)
+    for k, (a, b) in enumerate(zip(x.tolist(), y.tolist())):
+        i, j = _top(root, a), _top(root, b)
+        if i != j:
+            root[j], keep[k] = i, True
+    return keep, np.array([_top(root, v) for v in range(n)], np.int64)
+
+
+def _similar_forest(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs x, y of ``sets`` are similar and join two trees, as they come; those inside a tree are not
+    compared."""
+    root, found = list(range(len(sets))), np.zeros(len(x), bool)
+    for k, (a, b) in enumerate(zip(x.tolist(), y.tolist())):
+        i, j = _top(root, a), _top(root, b)
+        if i != j and similar(sets[a], sets[b], percent):
+            root[j], found[k] = i, True
+    return found
 
 
 def _regs(column: pa.Array) -> np.ndarray:
@@ -238,7 +271,7 @@ def _with_rarest(rows: DataFrame, texts: DataFrame, hot: DataFrame, width: int,
     spark = texts.sparkSession
     often, flags = spark.sparkContext.broadcast(_frequent_shingles(rows)), spark.sparkContext.broadcast(_map_of(hot.select("least"), hot.count()))
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, n = often.value
         for batch in batches:
             batch = batch.filter(_passes(flags.value, batch.column(0)))
@@ -254,10 +287,13 @@ def _with_rarest(rows: DataFrame, texts: DataFrame, hot: DataFrame, width: int,
                 rank = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
                 first = rank < np.repeat(size - -(-percent * size // 100) + 1, size)
                 kept = order[first]
-                yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in sets], pa.binary()).take(pa.array(row[kept])), pa.array(flat[kept].view(np.int64))], ["digest", "key"])
+                ends = np.append(0, np.cumsum(np.bincount(row[kept], minlength=len(sets)))).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[kept].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in sets], pa.binary()), keys], ["digest", "keys"])
 
-    found = texts.mapInArrow(trimmed(explode), "digest binary, key long").distinct()
-    return found.join(hot.select("id", "size", "digest"), "digest").select("id", "size", "key")
+    found = texts.mapInArrow(trimmed(tell), "digest binary, keys array<long>").groupBy("digest").agg(F.first("keys").alias("keys"))
+    own = materialise(found.join(hot.select("id", "size", "digest"), "digest").select("id", "size", "keys"), "rarest")
+    return own.select("id", "size", F.explode("keys").alias("key"))
 
 
 def _confirmed(small: list[bytes | None], other: list[bytes | None], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -289,6 +325,23 @@ def _promising(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("id", "other", "regs", "regs2", "size", "size2", "small", "small2").mapInArrow(trimmed(weigh), PAIRS)
 
 
+def _cells(pairs: DataFrame) -> DataFrame:
+    """A cell for each of ``pairs``."""
+    return pairs.select(F.xxhash64("id", "other").alias("cell"), "sure", F.array("id", "other").alias("ids"), F.array(F.lit(0)).alias("x"), F.array(F.lit(1)).alias("y"))
+
+
+def _listed(cells: DataFrame) -> DataFrame:
+    """(id, other, sure): the pairs of ``cells`` one by one."""
+    pairs = cells.select("sure", "ids", F.explode(F.arrays_zip("x", "y")).alias("p")).select("sure", F.col("ids")[F.col("p.x")].alias("a"), F.col("ids")[F.col("p.y")].alias("b"))
+    return pairs.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("other"), "sure")
+
+
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """Of ``pairs`` the likeliest of each id; written."""
+    best = F.max_by(F.struct("other", "sure"), F.struct("rate", -F.col("other"))).alias("best")
+    return materialise(pairs.groupBy("id").agg(best).select("id", "best.*"), "likeliest")
+
+
 def _slot(ids: pa.Array, bits: int) -> np.ndarray:
     ids = ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
     return (mix64(ids) & np.uint64(bits - 1)).astype(np.int64)
@@ -306,7 +359,8 @@ def _whole_sets(texts: DataFrame, wanted: DataFrame, n: int, width: int) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(map(_digest, sets), pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["digest", "whole"])
 
     found = texts.mapInArrow(trimmed(keep), "digest binary, whole binary").join(wanted.select("id", "digest"), "digest")
-    return materialise(found.groupBy("id").agg(F.first("whole").alias("whole")), "whole")  # a repeated row counts once
+    one = found.groupBy("digest").agg(F.first("id").alias("id"), F.first("whole").alias("whole"))  # a repeated row counts once
+    return materialise(one.select("id", "whole"), "whole")
 
 
 class _Judge:
@@ -316,10 +370,9 @@ class _Judge:
         self.docs, self.sets, self.width, self.percent = docs, sets, width, percent
         self.whole: DataFrame | None = None
 
-    def fetch(self, pairs: DataFrame) -> None:
-        """The whole sets that ``pairs`` need and that aren't at hand."""
-        ids = pairs.select("id").union(pairs.select(F.col("other").alias("id"))).distinct()
-        wanted = ids.join(self.sets.select("id", "least", "digest"), "id")
+    def fetch(self, cells: DataFrame) -> None:
+        """The whole sets that ``cells`` need and that aren't at hand."""
+        wanted = cells.select(F.explode("ids").alias("id")).distinct().join(self.sets.select("id", "least", "digest"), "id")
         if self.whole is not None:
             wanted = wanted.join(self.whole.select("id"), "id", "left_anti")
         wanted = materialise(wanted, "wanted")
@@ -328,32 +381,31 @@ class _Judge:
             more = _whole_sets(self.docs, wanted, n, self.width)
             self.whole = more if self.whole is None else self.whole.unionByName(more)
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (id, other, sure) that are similar; written."""
+    def links(self, cells: DataFrame) -> DataFrame:
+        """(id, other): links that join all that the similar pairs of ``cells`` join. A set comes once to each cell,
+        and of a cell's links those are told that join two trees."""
         percent = self.percent
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                whole = ([np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in (2, 3))
-                keep = pa.array([similar(x, y, percent) for x, y in zip(*whole)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["id", "other"])
-
-        sure, unsure = pairs.where("sure").select("id", "other"), pairs.where("not sure").select("id", "other")
+                for own, x, y, held in zip(*(batch.column(k) for k in range(4))):
+                    own, x, y = (c.values.to_numpy(zero_copy_only=False) for c in (own, x, y))
+                    place = {i: k for k, i in enumerate(held.values.field(0).to_pylist())}
+                    whole = held.values.field(1)
+                    sets = [np.frombuffer(whole[place[i]].as_py(), np.uint64) for i in own.tolist()]
+                    found = _similar_forest(sets, x, y, percent)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[x[found]], pa.int64()), pa.array(own[y[found]], pa.int64())], ["id", "other"])
+
+        sure, unsure = _listed(cells.where("sure")).select("id", "other"), cells.where("not sure")
         self.fetch(unsure)
         if self.whole is None:
             return sure
-        both = unsure.join(self.whole, "id").join(self.whole.select(F.col("id").alias("other"), F.col("whole").alias("whole2")), "other")
-        return both.select("id", "other", "whole", "whole2").mapInArrow(trimmed(verify), "id long, other long").unionByName(sure)
+        held = unsure.select("cell", F.explode("ids").alias("id")).join(self.whole, "id").groupBy("cell").agg(F.collect_list(F.struct("id", "whole")).alias("held"))
+        return unsure.join(held, "cell").select("ids", "x", "y", "held").mapInArrow(trimmed(verify), "id long, other long").unionByName(sure)
 
-    def settle(self, pairs: DataFrame, labels: DataFrame | None, likeliest: bool = False) -> DataFrame | None:
-        """``labels`` (node, component; None: no link yet) after the links among ``pairs`` (id, other, rate, sure), or
-        among the ``likeliest`` of each id."""
-        if pairs.isEmpty():
-            return labels
-        if likeliest:
-            best = F.max_by(F.struct("other", "sure"), F.struct("rate", -F.col("other"))).alias("best")
-            pairs = materialise(pairs.groupBy("id").agg(best).select("id", "best.*"), "likeliest")
-        return _joined(labels, self.links(pairs))
+    def settle(self, cells: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+        """``labels`` (node, component; None: no link yet) after the links among ``cells``."""
+        return labels if cells.isEmpty() else _joined(labels, self.links(cells))
 
 
 def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -399,7 +451,7 @@ def _mixed(members: DataFrame, labels: DataFrame | None, sets: DataFrame, *conte
         told = members.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "n", "id", "size", F.coalesce("component", "id").alias("component"))
     mixed = told.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("key")
     told = told.join(mixed, "key")
-    return told.join(sets.select("id", *content), "id") if content else told
+    return materialise(told, "mixed").join(sets.select("id", *content), "id") if content else told
 
 
 def _blocks(mixed: DataFrame, all_pairs: bool, block: int, *content: str) -> DataFrame:
@@ -444,14 +496,21 @@ def _exact_links(mixed: DataFrame, percent: int) -> DataFrame:
 
 
 def _pairs_in_blocks(mixed: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
-    """(id, other, rate): pairs of a bucket's members that no link joins yet and whose sizes and registers allow one.
-    Without ``all_pairs``, the blocks of a bucket of several are by themselves, and each member names only its
-    likeliest partner there."""
+    return _listed(_cells_in_blocks(mixed, percent, all_pairs))
+
+
+def _cells_in_blocks(mixed: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
+    """``CELLS`` with the pairs of a bucket's members that no link joins yet and whose sizes and registers allow one. Without
+    ``all_pairs``, the blocks of a bucket of several are by themselves, and each member names only its likeliest
+    partner there. A pair is told by the first alone of the buckets where all pairs meet, if it has such; and of the
+    sure links of a block those that join two trees, with the others between unlike trees."""
+    whole = F.lit(True) if all_pairs else F.col("n") <= BLOCK
+    met = mixed.where(whole).groupBy("id").agg(F.collect_list("key").alias("met")).where(F.size("met") > 1)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, told, sures = [], [], []
-            for i, j, rows, n in zip(*(batch.column(k).to_pylist() for k in (1, 2)), batch.column(3), batch.column(4).to_pylist()):
+            cells: list[tuple] = []
+            for key, i, j, rows, n in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), batch.column(3), batch.column(4).to_pylist()):
                 flat = rows.values
                 own, ids, comp, size = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
                 a, b = np.triu_indices(len(ids), 1)
@@ -463,7 +522,7 @@ def _pairs_in_blocks(mixed: DataFrame, percent: int, all_pairs: bool) -> DataFra
                     continue
                 regs = _regs(flat.field(4))
                 used = (regs != EMPTY).sum(1)
-                cell, rates = [], []
+                close, rates = [], []
                 for s in range(0, len(a), 16384):
                     x, y = a[s : s + 16384], b[s : s + 16384]
                     # Of registers that are hopeful as a whole, the first half has so many equal ones.
@@ -471,23 +530,44 @@ def _pairs_in_blocks(mixed: DataFrame, percent: int, all_pairs: bool) -> DataFra
                     half = (regs[x, : REGISTERS // 2] == regs[y, : REGISTERS // 2]).sum(1) >= need
                     x, y = x[half], y[half]
                     good = hopeful(regs[x], regs[y], size[x], size[y], percent)
-                    cell.append(np.stack([x[good], y[good]]))
+                    close.append(np.stack([x[good], y[good]]))
                     rates.append(estimate(regs[x[good]], regs[y[good]])[0])
-                pair, rate = np.concatenate(cell, axis=1), np.concatenate(rates)
+                pair, rate = np.concatenate(close, axis=1), np.concatenate(rates)
                 if not all_pairs and n > BLOCK and len(rate):
                     order = np.argsort(-rate, kind="stable")
                     pair, rate = pair[:, order], rate[order]
                     first = np.unique(np.concatenate([np.unique(pair[k], return_index=True)[1] for k in (0, 1)]))
                     pair, rate = pair[:, first], rate[first]
+                first = key if all_pairs or n <= BLOCK else None
+                lists = [set(x or [first]) for x in flat.field(6).to_pylist()] if len(rate) else []
+                own = np.array([min((lists[x] & lists[y]) - {None}, default=None) == first for x, y in pair.T.tolist()], bool)
+                pair, rate = pair[:, own], rate[own]
+                order = np.argsort(-rate, kind="stable")
+                pair, rate = pair[:, order], rate[order]
                 keep, sure = _confirmed(*(flat.field(5).take(pa.array(pair[k])).to_pylist() for k in (0, 1)), percent)
-                found.append(ids[pair[:, keep]])
-                told.append(rate[keep])
-                sures.append(sure[keep])
-            if found:
-                x, y = np.concatenate(found, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y), pa.int64()), pa.array(np.minimum(x, y), pa.int64()), pa.array(np.concatenate(told)), pa.array(np.concatenate(sures))], ["id", "other", "rate", "sure"])
-
-    return _blocks(mixed, all_pairs, LAST_BLOCK if all_pairs else BLOCK, "regs", "small").mapInArrow(trimmed(compare), PAIRS).distinct()
+                pair, rate, sure = pair[:, keep], rate[keep], sure[keep]
+                node = np.unique(comp, return_inverse=True)[1]
+                joins, tree = _forest(*node[pair[:, sure]], int(node.max()) + 1)
+                keep = tree[node[pair[0]]] != tree[node[pair[1]]]
+                keep[np.flatnonzero(sure)[joins]] = True
+                pair, sure = pair[:, keep], sure[keep]
+                part = np.zeros(len(ids), np.int64)
+                unsure = np.unique(pair[:, ~sure])
+                part[unsure] = np.cumsum(size[unsure].astype(np.int64)) // PART_SHINGLES
+                groups = np.stack([sure, *np.where(sure, 0, np.sort(part[pair], axis=0))])
+                for group in np.unique(groups, axis=1).T:
+                    x, y = pair[:, (groups == group[:, None]).all(0)]
+                    used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+                    cell = np.full(1, key, np.int64).view(np.uint64)
+                    for k in (i, j, *group.tolist()):
+                        cell = mix64(cell + np.uint64(k))
+                    cells.append((int(cell.view(np.int64)[0]), bool(group[0]), ids[used], at[: len(x)], at[len(x) :]))
+            if cells:
+                kinds = (pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*cells), kinds)], ["cell", "sure", "ids", "x", "y"])
+
+    rows = mixed.join(met, "id", "left")
+    return _blocks(rows, all_pairs, LAST_BLOCK if all_pairs else BLOCK, "regs", "small", "met").mapInArrow(trimmed(compare), CELLS)
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -517,16 +597,17 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     judge = _Judge(texts, sets, width, percent)
     members = _crowded(_with_bands(sets))
     stars = materialise(_promising(_stars(members, percent), sets, percent), "likely")
-    labels = judge.settle(stars, None, likeliest=True)
+    labels = judge.settle(_cells(_likeliest(stars)), None)
     mixed = _mixed(members.where("n > 2"), labels, sets, "regs", "small")
-    more = _pairs_in_blocks(mixed, percent, False).unionByName(_apart(stars, labels).select("id", "other", "rate", "sure"))
+    more = _cells_in_blocks(mixed, percent, False).unionByName(_cells(_apart(stars, labels)))
     labels = judge.settle(materialise(more, "likely"), labels)
     hot = materialise(_mixed(members.where(f"n > {BLOCK}"), labels, sets).select("id").distinct(), "hot")
     if not hot.isEmpty():
         named = materialise(sets.join(hot, "id").select("id", "least", "digest", "size"), "hot")
         rare = _crowded(_with_rarest(rows, texts, named, width, percent))
-        labels = judge.settle(materialise(_promising(_chance_stars(_mixed(rare, labels, sets), percent), sets, percent), "likely"), labels, likeliest=True)
-        labels = judge.settle(materialise(_pairs_in_blocks(_mixed(rare, labels, sets, "regs", "small"), percent, True), "likely"), labels)
+        chance = materialise(_promising(_chance_stars(_mixed(rare, labels, sets), percent), sets, percent), "likely")
+        labels = judge.settle(_cells(_likeliest(chance)), labels)
+        labels = judge.settle(materialise(_cells_in_blocks(_mixed(rare, labels, sets, "regs", "small"), percent, True), "likely"), labels)
     exact = materialise(_exact_links(_mixed(_crowded(_with_prefixes(sets, percent)), labels, sets, "small"), percent), "exact")
     if not exact.isEmpty():
         labels = _joined(labels, exact)
