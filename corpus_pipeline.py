@@ -16,6 +16,11 @@ from textloom.llm import minhash, mixing, packing, toxicity
 from textloom.llm.common import materialise, table
 
 
+#: Rows of a stretch of numbered rows, whose decisions are one array; and the rows, a byte each, whose arrays are shared
+#: with all tasks, so that texts stay where they are. The texts of a larger table are shuffled to their decisions.
+STRETCH, SHARED = 1 << 12, 1 << 24
+
+
 def _free(name: str, docs: DataFrame) -> str:
     """``name``, or a longer one that no column of ``docs`` has, whatever the case."""
     taken = {c.lower() for c in docs.columns}
@@ -30,6 +35,21 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
+def _repeated(numbered: DataFrame, row: str, counts: DataFrame) -> DataFrame:
+    """Each row of ``numbered`` as often as ``counts`` (key, n: one for each row, n up to 127) tells, without ``row``.
+    Row numbers have no gap within a partition, so a stretch's counts are an array by place."""
+    columns, n = [c for c in numbered.columns if c != row], _free("n", numbered)
+    if numbered.count() > SHARED:
+        told = numbered.join(counts.where("n > 0").select(F.col("key").alias(row), F.col("n").alias(n)), row)
+    else:
+        stretch = F.floor(F.col("key") / STRETCH).alias("stretch")
+        placed = F.sort_array(F.collect_list(F.struct("key", F.col("n").cast("byte").alias("n"))))
+        arrays = materialise(counts.groupBy(stretch).agg(placed["n"].alias("n")), "counts").toDF(first := _free("stretch", numbered), n)
+        at = (F.col(row) % STRETCH).cast("int")
+        told = numbered.join(F.broadcast(arrays), F.floor(F.col(row) / STRETCH) == F.col(first)).withColumn(n, F.col(n)[at]).where(F.col(n) > 0)
+    return told.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*columns)
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain, fitted on a bounded sample of this input's labelled documents, does not reject."""
     chain, _, _ = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -45,18 +65,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     told = minhash.near_duplicates(keyed, id_col=row).select(F.col("doc_id").alias("key"), "n_shingles", "component_id")
     told = materialise(told.join(keyed.select(F.col(row).alias("key"), F.col("doc_id").cast("long").alias("id")), "key"), "told")
     best = told.where("n_shingles > 0").groupBy("component_id").agg(F.min_by("key", F.struct(F.col("id").isNull(), "id", "key")).alias("key")).select("key")
-    kept = materialise(best.union(told.where("n_shingles = 0").select("key")), "kept").withColumnRenamed("key", row)
-    return keyed.join(kept, row).select(*docs.columns)
+    kept = best.union(told.where("n_shingles = 0").select("key")).withColumn("n", F.lit(1))
+    counts = told.select("key").join(kept, "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("n"))
+    return _repeated(keyed, row, counts).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, up to three times."""
     numbered, row = _numbered(docs)
     rows = numbered.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), mixing.word_count(F.col("text")).alias("size"), F.col(row).alias("row"))
-    copies = mixing.mix_sized(materialise(rows, "mix"), extra=["row"]).where("copies > 0")
-    copies = materialise(copies.select(F.col("row").alias(row), F.sequence(F.lit(1).cast("long"), F.col("copies")).alias(_free("copies", numbered))), "copies")
-    copy = copies.columns[1]
-    return numbered.join(copies, row).select(*docs.columns, F.explode(copy).alias(_free("copy", numbered))).select(*docs.columns)
+    copies = mixing.mix_sized(materialise(rows, "mix"), extra=["row"])
+    return _repeated(numbered, row, copies.select(F.col("row").alias("key"), F.coalesce("copies", F.lit(0)).alias("n"))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,6 +68,27 @@ def test_rows_that_share_an_id(spark):
     assert got == [(1, "a b c d e f"), (1, "g h i j k l"), (2, "m n o p q r")]
 
 
+def test_texts_stay_where_they_are(spark, monkeypatch):
+    """Rows are repeated as told, in stretches or by a shuffle; in stretches no text goes through an exchange."""
+    monkeypatch.setattr(corpus_pipeline, "STRETCH", 8)
+    docs = spark.range(100).selectExpr("id doc_id", "concat('text ', id) text", "id stretch", "'x' n").repartition(3)
+    numbered, row = corpus_pipeline._numbered(docs)
+    counts = numbered.selectExpr(f"{row} key", "doc_id % 4 n")
+    want = sorted((i, f"text {i}", i, "x") for i in range(100) for _ in range(i % 4))
+    for shared in (1 << 24, 10):
+        monkeypatch.setattr(corpus_pipeline, "SHARED", shared)
+        got = corpus_pipeline._repeated(numbered, row, counts)
+        assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        monkeypatch.setattr(corpus_pipeline, "SHARED", 1 << 24)
+        for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.mix_sources):
+            plan = stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
