@@ -465,6 +465,30 @@ def test_language_model(spark, odd, none):
     assert lm_scoring.score_texts(none).count() == 0
 
 
+def test_tails_in_sql_are_those_of_the_workers(spark):
+    words_ = ["a", "ab", "xyz", "é", "naïve", "日", "中文", "x\U0001f600\U0001f600", "ß", "éa", "\x00"]
+    told = spark.createDataFrame([(w,) for w in words_], "word string").selectExpr("word", f"{lm_scoring.TAIL} as k").collect()
+    assert {r["word"]: r["k"] for r in told} == dict(zip(words_, lm_scoring.tails(pa.array(words_)).tolist()))
+
+
+def test_scores_of_words_beyond_ascii(spark):
+    rng = np.random.default_rng(2)
+    letters = list("éßΩ中文日本語ж😀")
+    rows = [(d, " ".join("".join(rng.choice(letters, 3)) for _ in range(40))) for d in range(80)]
+    told = lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(told) == 80 and all(math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in told)
+    held = [r for r in told if r["held_out"]]
+    assert held and sum(r["score"] - r["base_score"] for r in held) > -0.1 * sum(r["n_tokens"] for r in held)
+
+
+def test_scores_of_few_texts(spark):
+    """A model of few tokens stays near their counts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for most in (20, 60):
+        held = [r for r in lm_scoring.score_texts(docs.orderBy("doc_id").limit(most)).collect() if r["held_out"]]
+        assert held and sum(r["score"] - r["base_score"] for r in held) > -0.1 * sum(r["n_tokens"] for r in held)
+
+
 def vocabulary_of(texts):
     counts = Counter(w for t in texts for w in [*t.split(), "\n"])
     table = pa.table({"word": list(counts), "c": list(counts.values())}).sort_by([("c", "descending"), ("word", "ascending")])

@@ -37,6 +37,9 @@ HELD = 131_072
 ROUNDS, NOISE, NOISE_IN_CLASS = 3, 32, 12
 #: Tokens to learn from, at least: of fewer, each is seen several times, PASSES at most.
 LEAST_LEARNT, PASSES = 3_000_000, 40
+#: Where tokens are seen several times: the weight of a normal prior around the start, whose biases are the words'
+#: counts, so a model of few tokens stays near them.
+PRIOR = 16.0
 BATCH, LEAST_BATCH, RATE = 8192, 512, 0.12
 #: Tokens whose probabilities are computed at once.
 SCORED_AT_ONCE = 1 << 15
@@ -73,7 +76,8 @@ def tails(distinct: pa.Array) -> np.ndarray:
     return (last + 256 * second) % TAILS
 
 
-TAIL = f"cast(conv(hex(right(cast(word as binary), 2)), 16, 10) as long) % {TAILS}"
+#: ``tails`` in SQL. Not by right(), which takes the last two characters even of binary.
+TAIL = f"cast(conv(hex(substring(cast(word as binary), -2, 2)), 16, 10) as long) % {TAILS}"
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -228,13 +232,17 @@ def gradients(v: Vocabulary, p: Parameters, first: np.ndarray, last: np.ndarray,
 class Trainer:
     """Adagrad over minibatches, from given parameters."""
 
-    def __init__(self, v: Vocabulary, p: Parameters, seed: int, rate: float = RATE):
+    def __init__(self, v: Vocabulary, p: Parameters, seed: int, rate: float = RATE, hold: float = 0.0):
+        """``hold``: the pull of each token back to the given parameters."""
         self.v, self.p, self.rng, self.rate = v, {k: x.copy() for k, x in p.items()}, np.random.default_rng(seed), rate
+        self.given, self.hold = p, hold
         self.squares = {k: np.full_like(x, 1e-6) for k, x in p.items()}
 
     def learn(self, first: np.ndarray, last: np.ndarray, symbol: np.ndarray) -> None:
         g = gradients(self.v, self.p, first, last, symbol, self.rng)
         for k, x in g.items():
+            if self.hold:
+                x -= self.hold * len(symbol) * (self.p[k] - self.given[k])
             x /= len(symbol) ** 0.5
             self.squares[k] += x * x
             self.p[k] += self.rate * x / np.sqrt(self.squares[k])
@@ -281,6 +289,7 @@ def train(rows: DataFrame, v: Vocabulary, known) -> Parameters:
                     _one_pass(trainer, line)
             if kept:
                 line = tuple(np.concatenate(x) for x in zip(*kept))
+                trainer.hold = PRIOR / tokens
                 for _ in range(passes):
                     _one_pass(trainer, line)
             if tokens:
