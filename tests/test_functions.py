@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -173,3 +174,41 @@ def test_hashes_do_not_depend_on_key_order():
     assert scalar.inside_root("/r", "a\\b/../c") == "a/c" and scalar.inside_root("/r", "../x") is None
     with pytest.raises(ValueError):
         scalar.positive(0, 1, "limit")
+
+
+def json_text(rng, depth=0):
+    blank = rng.choice(["", "", " ", "\n\t"])
+    if depth > 5 or rng.random() < 0.5:
+        return rng.choice(["0", "-1.5e3", "01", "1.", "true", "nul", '"é中"', '"\\u00e9"', '"\\x"', '"😀aaaaaaaa"', '"bad\tx"', '"\\ud83d"']) + blank
+    if rng.random() < 0.5:
+        return f"[{blank}" + f",{blank}".join(json_text(rng, depth + 1) for _ in range(rng.randrange(4))) + "]"
+    return "{" + f",{blank}".join(rng.choice(['"k"', '"é"', '"\\u0041"']) + f"{blank}:{blank}" + json_text(rng, depth + 1) for _ in range(rng.randrange(4))) + "}" + blank
+
+
+def test_plain_entries_are_those_of_the_tokens(monkeypatch):
+    rng = random.Random(8)
+    plain, complete, pages = json_keys._PLAIN, 0, 0
+    for _ in range(4000):
+        text = ("{" + ",".join(f'"k{i}" : ' + json_text(rng) for i in range(rng.randrange(6))) + "}").encode()
+        if rng.random() < 0.2 and len(text) > 3:
+            at = rng.randrange(len(text))
+            text = text[:at] + bytes([rng.choice([0x80, 0xFF, 34, 44, 125])]) + text[at + 1 :]
+        limits = {k: v for k, v in {"limit": rng.randrange(1, 4), "max_preview": rng.randrange(1, 9), "max_depth": rng.randrange(1, 7), "max_scan_bytes": rng.randrange(1, len(text) + 3), "max_output_bytes": 8192 + rng.randrange(1, 400)}.items() if rng.random() < 0.4}
+        cursor = None
+        while True:
+            monkeypatch.setattr(json_keys, "_PLAIN", plain)
+            page = json_keys.scan_keys(text, cursor=cursor, **limits)
+            monkeypatch.setattr(json_keys, "_PLAIN", re.compile(rb"(?!)"))
+            assert page == json_keys.scan_keys(text, cursor=cursor, **limits), (text, limits)
+            pages, complete, cursor = pages + 1, complete + (page["validation"] == "complete"), page["next_cursor"]
+            if not cursor:
+                break
+    assert pages > 4000 and complete > 500
+
+
+def test_plain_entries_take_one_step(monkeypatch):
+    steps, real = [], json_keys._Scan.blank
+    monkeypatch.setattr(json_keys._Scan, "blank", lambda self: (steps.append(1), real(self))[1])
+    text = "{" + ", ".join(f'"k{i}": [{i}, {{"x": "é"}}]' for i in range(500)) + "}"
+    assert json_keys.scan_keys(text.encode(), limit=1000)["total_keys"] == 500
+    assert len(steps) < 10

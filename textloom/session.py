@@ -12,7 +12,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of one Arrow batch, where the session sets none: bounds what a Python worker holds at once.
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
@@ -60,6 +60,18 @@ def prepare(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+#: Partitions of each core, for rows that are much work, and bytes of one in a table that has as many by itself.
+DEALT, SPLIT = 4, 128 << 20
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt out evenly over the cores before work in Python, as a file of few row groups keeps few cores
+    busy; a table that is large enough to come in as many parts stays as it is."""
+    parts = DEALT * rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows if size >= parts * SPLIT else rows.repartition(parts)
+
+
 @functools.cache
 def _own_folder(application: str) -> str:
     folder = tempfile.mkdtemp(prefix="textloom-")
