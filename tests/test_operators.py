@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom import schemas
+from textloom.functions import json_keys
 from textloom.operators import graph, ledger, snapshot, symbols
 from textloom.sources import jsonl
 
@@ -97,3 +98,12 @@ def test_paths(spark, path, ok):
     from textloom.functions.scalar import valid_relative
 
     assert spark.range(1).select(valid_relative(F.lit(path)).alias("v")).first()["v"] == ok
+
+
+def test_rows_of_one_file_are_dealt_out_before_scanning(spark, tmp_path):
+    path = str(tmp_path / "texts")
+    spark.range(2000).selectExpr("id", """concat('{"a":', id, ',"b":[1],"c":null}') as text""").coalesce(1).write.parquet(path)
+    told = json_keys.json_keys(spark.read.parquet(path), "id", "text", page_number=0, limit=2)
+    parts = {r["p"]: r["n"] for r in told.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert len(parts) >= spark.sparkContext.defaultParallelism and max(parts.values()) < 1000
+    assert {(r["id"], r["ordinal"], r["key"], r["validation"]) for r in told.collect()} == {(i, k, "ab"[k], "incomplete") for i in range(2000) for k in (0, 1)}
