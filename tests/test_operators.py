@@ -18,6 +18,19 @@ def test_golden_pagerank(spark):
     assert got == {"a": 0.249006, "hub": 0.229912, "c": 0.214037, "b": 0.172899, "d": 0.067073, "e": 0.067073}
 
 
+def test_partitions_of_pagerank_follow_the_edges(spark, monkeypatch):
+    edges = spark.range(1000).selectExpr("concat('a', id % 37) as src", "concat('b', id % 91) as dst")
+    told = lambda: {r["file"]: r["rank"] for r in graph.pagerank(graph.endpoints(edges), edges)[0].collect()}
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.files.maxPartitionBytes")
+    before, few = [spark.conf.get(k) for k in keys], told()
+    seen, real = set(), graph.checkpointed
+    monkeypatch.setattr(graph, "EDGES_A_TASK", 50)
+    monkeypatch.setattr(graph, "checkpointed", lambda df: (seen.add(tuple(spark.conf.get(k) for k in keys)), real(df))[1])
+    many = told()
+    assert seen == {("20", "false", "8m")} and [spark.conf.get(k) for k in keys] == before
+    assert few.keys() == many.keys() and all(abs(few[k] - many[k]) < 1e-12 for k in few)
+
+
 def test_parallel_edges_weigh_and_orphans_are_certain(spark):
     rows = [("a", "b", "resolved", "b"), ("a", "b", "resolved", "b"), ("a", "c", "resolved", "c"), ("u", "react", "external", None)]
     edges = spark.createDataFrame([(f, s, st, t, t or s, i, "", i) for i, (f, s, st, t) in enumerate(rows)], schemas.EDGES)

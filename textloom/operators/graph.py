@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.session import shared_path
+from textloom.session import partitions, shared_path
 
 ALPHA, TOLERANCE, MOST_ROUNDS = 0.85, 1e-6, 100
+#: Edges that one task of PageRank's shuffles gets, so its memory does not grow with the graph.
+EDGES_A_TASK = 500_000
 NO_CONTEXT = "(no symbols/imports)"
 
 
@@ -40,8 +42,14 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = ALPHA, tol: floa
     """(file, rank), rounds and whether they converged: the sum of changes is under nodes * tol.
 
     Parallel edges are one edge of their count. A round is a join, a sum and one action; each round's ranks are
-    written to the shared folder, which ends their lineage and lets a lost executor be replaced.
+    written to the shared folder, which ends their lineage and lets a lost executor be replaced. Shuffles have as
+    many partitions as the edges ask for.
     """
+    with partitions(edges.sparkSession, -(-edges.count() // EDGES_A_TASK)):
+        return _pagerank(checkpointed(nodes.select("file")), edges, alpha, tol, most)
+
+
+def _pagerank(nodes: DataFrame, edges: DataFrame, alpha: float, tol: float, most: int) -> tuple[DataFrame, int, bool]:
     n = nodes.count()
     if n == 0:
         return nodes.select("file", F.lit(0.0).alias("rank")), 0, True

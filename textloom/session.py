@@ -10,6 +10,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,6 +73,29 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows if size >= parts * SPLIT else rows.repartition(parts)
 
 
+#: Bytes of a file that a task reads within ``partitions``.
+PARTS = "8m"
+
+
+@contextlib.contextmanager
+def partitions(spark: SparkSession, least: int) -> Iterator[None]:
+    """What is run within shuffles to ``least`` partitions, or to the session's if they are more, and if ``least`` are
+    more they are not merged, as merging goes by packed bytes and not by what a task holds of them; and files are
+    read in parts of PARTS, as a sum before a shuffle holds what a part has."""
+    if least <= int(spark.conf.get("spark.sql.shuffle.partitions")):
+        yield
+        return
+    given = {"spark.sql.shuffle.partitions": str(least), "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": PARTS}
+    before = {key: spark.conf.get(key) for key in given}
+    try:
+        for key, value in given.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 @functools.cache
 def _own_folder(application: str) -> str:
     folder = tempfile.mkdtemp(prefix="textloom-")
